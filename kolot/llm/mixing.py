@@ -42,8 +42,8 @@ def uniform(seed: Column | str | int, *columns: str) -> Column:
 UNIT = "struct<doc_id: bigint, size: bigint, base: bigint, p: double>"
 
 #: Folds `units`, an array of (size, doc_id, base, p, u), into (done: decided units with `take`, left: the unit still fractional, or null).
-#: Two fractional units meet; mass moves between them at random, by u, until one is 0 or 1, and the other meets the next.
-#: Below a sum of 1 the one that wins takes all; above, it becomes 1 and the other keeps the rest. Expectations are kept, and the sum but for the unit left.
+#: Two fractional units meet, and words move between them until one's p is 0 or 1; the other meets the next. `up` words at most can go to the first,
+#: `down` to the second; the first gains with the chance down / (up + down). So each p keeps its expectation, and the sum of p * size does not change.
 ROUNDED = f"""
 aggregate(
   units,
@@ -51,23 +51,37 @@ aggregate(
   (s, x) -> if(s.left IS NULL,
     named_struct('done', s.done, 'left', named_struct('doc_id', x.doc_id, 'size', x.size, 'base', x.base, 'p', x.p)),
     transform(array(named_struct(
-        'first', if(s.left.p + x.p < 1 + {EPS}, x.u < s.left.p / (s.left.p + x.p), x.u < (1 - x.p) / (2 - s.left.p - x.p)),
-        'sum', s.left.p + x.p,
-        'other', named_struct('doc_id', x.doc_id, 'size', x.size, 'base', x.base, 'p', x.p))),
-      m -> transform(array(named_struct('sum', m.sum, 'wins', if(m.first, s.left, m.other), 'loses', if(m.first, m.other, s.left))),
-        r -> named_struct(
-          'done', concat(s.done,
-            if(r.sum >= 1 - {EPS}, array(named_struct('doc_id', r.wins.doc_id, 'size', r.wins.size, 'base', r.wins.base, 'take', 1)), array()),
-            if(r.sum <= 1 + {EPS}, array(named_struct('doc_id', r.loses.doc_id, 'size', r.loses.size, 'base', r.loses.base, 'take', 0)), array())),
-          'left', CASE WHEN r.sum < 1 - {EPS} THEN named_struct('doc_id', r.wins.doc_id, 'size', r.wins.size, 'base', r.wins.base, 'p', r.sum)
-                       WHEN r.sum > 1 + {EPS} THEN named_struct('doc_id', r.loses.doc_id, 'size', r.loses.size, 'base', r.loses.base, 'p', r.sum - 1) END))[0])[0]))
+        'up', least((1 - s.left.p) * s.left.size, x.p * x.size),
+        'down', least(s.left.p * s.left.size, (1 - x.p) * x.size))),
+      m -> transform(array(if(x.u * (m.up + m.down) < m.down, m.up, -m.down)),
+        d -> transform(array(array(
+            named_struct('doc_id', s.left.doc_id, 'size', s.left.size, 'base', s.left.base, 'p', s.left.p + d / s.left.size),
+            named_struct('doc_id', x.doc_id, 'size', x.size, 'base', x.base, 'p', x.p - d / x.size))),
+          two -> named_struct(
+            'done', concat(s.done, transform(filter(two, y -> y.p < {EPS} OR y.p > 1 - {EPS}), y -> named_struct('doc_id', y.doc_id, 'size', y.size, 'base', y.base, 'take', cast(round(y.p) AS int)))),
+            'left', get(filter(two, y -> y.p >= {EPS} AND y.p <= 1 - {EPS}), 0)))[0])[0])[0]))
 """
 
 
+#: Folds a source's `large` documents, an array of (size, doc_id, u): each is rounded against the pool of all later and smaller documents of the source,
+#: whose common rate takes up what the rounding added or left. Gives (done: documents with `copies`, target and size: of the pool that remains).
+POOLED = """
+aggregate(
+  large,
+  named_struct('target', target, 'size', cast(source_size AS bigint), 'done', cast(array() AS array<struct<doc_id: bigint, size: bigint, copies: bigint>>)),
+  (s, x) -> transform(array(least({most}D, greatest(0D, s.target / s.size))),
+    rate -> transform(array(cast(floor(rate + {eps}) AS bigint) + if(x.u < rate - floor(rate + {eps}), 1L, 0L)),
+      copies -> named_struct(
+        'target', s.target - copies * x.size,
+        'size', s.size - x.size,
+        'done', concat(s.done, array(named_struct('doc_id', x.doc_id, 'size', x.size, 'copies', copies)))))[0])[0])
+"""
+
+
 def rounded(units: DataFrame, *by: str) -> DataFrame:
-    """Rows (by, r): the units of each group, by size, folded by ROUNDED."""
+    """Rows (by, r): the units of each group, larger ones first, folded by ROUNDED; so what is left is small."""
     element = F.struct("size", "doc_id", "base", "p", "u")
-    return units.groupBy(*by).agg(F.array_sort(F.collect_list(element)).alias("units")).select(*by, F.expr(ROUNDED).alias("r"))
+    return units.groupBy(*by).agg(F.sort_array(F.collect_list(element), asc=False).alias("units")).select(*by, F.expr(ROUNDED).alias("r"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 0) -> DataFrame:
@@ -75,51 +89,60 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     size is the number of words ``[^\\x20\\x09-\\x0D]+`` (null or empty text: 0, taken 0). A
     source's rows share the rate target / source_size; its whole part is copied as it is, and
-    its fraction is rounded to 0 or 1 by the pivotal method, so that taken words stay near the
-    target. All chances come from hashes of identifier and seed: reruns agree on any cluster.
+    its fraction is rounded to 0 or 1 by the pivotal method, weighted by size: what a source
+    takes differs from its target by the last unit's share only. All chances come from hashes of identifier and seed: reruns agree on any cluster.
     A null source is a source. Repeated rows are rounded each on its own. An empty table
     gives an empty result. Other columns are ignored.
 
-    Blocks of about FAN_IN documents of a source and like sizes, dealt by a hash, are rounded
+    First each source's large documents, few by their size, are rounded from the largest on, and
+    the rate of all its others makes up for it. Then blocks of about FAN_IN documents of a source and like sizes, dealt by a hash, are rounded
     each in one task; each leaves at most one fractional unit. The residuals of FAN_IN blocks
     meet in the next level of the tree, and at its root those of all size classes of the source.
     """
-    workspace = Workspace(docs.sparkSession, "mixing")
+    spark = docs.sparkSession
+    workspace = Workspace(spark, "mixing")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"))
     sizes = workspace.write(rows, "sizes")
-    targets = workspace.write(source_targets(sizes, most, weights), "targets")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))
-    rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
+    targets = workspace.write(source_targets(sizes, most, weights).withColumn("key", key).withColumn("bar", F.greatest(F.least("source_size", "target") / 256, F.col("source_size") / 4096)), "targets")
+    units = sizes.select("doc_id", key.alias("key"), "size")
+
+    # large: 4096 documents of a source at most, since each holds more than that share of its words
+    large = units.join(targets, "key").where("size > bar").withColumn("u", uniform(seed, "doc_id"))
+    large = large.groupBy("key", "target", "source_size").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "u")), asc=False).alias("large"))
+    large = workspace.write(large.select("key", F.expr(POOLED.format(most=float(most), eps=EPS)).alias("r")), "large")
+    pool = targets.join(large.select("key", F.col("r.target").alias("pool_target"), F.col("r.size").alias("pool_size")), "key", "left")
+    rate = F.try_divide(F.coalesce("pool_target", "target"), F.coalesce("pool_size", "source_size"))
+    rate = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), F.coalesce(rate, F.lit(0.0))))
     base = F.floor(rate + EPS)
-    known = targets.select(key.alias("key"), "source_size", "target", base.alias("base"), F.greatest(rate - base, F.lit(0.0)).alias("p"))
-    known = known.withColumn("p", F.when(F.col("p") <= EPS, 0.0).otherwise(F.col("p")))
+    pool = pool.select("key", "bar", base.alias("base"), F.when(rate - base <= EPS, 0.0).otherwise(rate - base).alias("p"))
     classes = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
-    units = sizes.select("doc_id", key.alias("key"), "size", classes.alias("class")).join(known, "key").select("doc_id", "key", "size", "class", "base", "p")
-    counts = workspace.write(sizes.select(key.alias("key"), classes.alias("class")).groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / FAN_IN)), "classes")
+    small = units.join(pool, "key").where("size <= bar").withColumn("class", classes)
+    counts = workspace.write(small.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / FAN_IN)), "classes")
     most_blocks = counts.agg(F.max("blocks")).first()[0] or 1
-    levels = ceil(log(max(most_blocks, 1), FAN_IN) - EPS)
+    levels = ceil(log(most_blocks, FAN_IN) - EPS)
 
     # the number of blocks of a class depends on its count, so rows meet their class's count first
-    open_ = units.where("p > 0 and size > 0").join(counts.select("key", "class", "blocks"), ["key", "class"])
+    open_ = small.where("p > 0 and size > 0").join(counts.select("key", "class", "blocks"), ["key", "class"])
     open_ = open_.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "blocks"))
     node = rounded(open_.withColumn("u", uniform(seed + 1, "doc_id")), "key", "class", "block")
-    parts = []
+    parts = [large.select("key", F.explode("r.done").alias("x")).select("key", "x.*")]
     for level in range(levels + 2):
         node = workspace.write(node, f"level-{level}")
-        parts.append(node.select("key", F.explode("r.done").alias("x")).select("key", "x.*"))
+        parts.append(node.select("key", F.explode("r.done").alias("x")).select("key", "x.doc_id", "x.size", (F.col("x.base") + F.col("x.take")).alias("copies")))
         residual = node.where("r.left IS NOT NULL").select("key", "class", F.floor(F.col("block") / FAN_IN).alias("block"), "r.left.*")
         if level > levels:
-            parts.append(residual.select("key", "doc_id", "size", "base", (uniform(seed + 2, "doc_id") < F.col("p")).cast("int").alias("take")))
+            parts.append(residual.select("key", "doc_id", "size", (F.col("base") + (uniform(seed + 2, "doc_id") < F.col("p")).cast("int")).alias("copies")))
             break
         residual = residual.withColumn("u", uniform(seed + 3 + level, "doc_id"))
         if level < levels:
             node = rounded(residual, "key", "class", "block")
         else:  # the root of each source
             node = rounded(residual, "key").select("key", F.lit(0).alias("class"), F.lit(0).cast("long").alias("block"), "r")
-    parts.append(units.where("p = 0 or size = 0").select("key", "doc_id", "size", "base", F.lit(0).alias("take")))
+    parts.append(small.where("p = 0 or size = 0").select("key", "doc_id", "size", F.when(F.col("size") > 0, F.col("base")).otherwise(0).alias("copies")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    out = out.join(known.select("key", "source_size", "target"), "key")
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("base") + F.col("take")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), F.when(F.col("key") == "-", None).otherwise(F.substr("key", F.lit(2))).alias("source"), copies.alias("copies"))
+    out = out.join(targets.select("key", "source", "source_size", "target"), "key")
+    copies = F.col("copies").cast("long")
+    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"))
