@@ -79,7 +79,7 @@ def screened(terms: list[np.ndarray], labels: np.ndarray, least_docs: int = 3, l
     return [int(every[k]) for k in keep[np.lexsort((every[keep], -chi2[keep]))][:most]]
 
 
-def train(terms: list[np.ndarray], labels: np.ndarray, factors: int = 8, steps: int = 300, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Model:
+def train(terms: list[np.ndarray], labels: np.ndarray, factors: int = 8, steps: int = 300, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Model:
     """Logistic loss by Adam over all rows at once; weight decay on w and v."""
     chosen = screened(terms, labels)
     index = {t: k for k, t in enumerate(chosen)}
