@@ -1,24 +1,64 @@
-"""Stages of the corpus pipeline."""
+"""The corpus pipeline: toxic documents go, copies and near copies leave one document each, sources are mixed, texts become ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the
+columns of documents. Decisions are joined by doc_id, so documents that repeat an identifier
+share its fate, but for exact copies of whole rows, of which exact dedup leaves one.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kolot.llm import exact_dedup, mixing, near_dedup, pieces, toxicity
+from kolot.llm.common import Workspace, table
+
+#: Documents that score this or more are rejected.
+TOXIC = 0.7
 
-from kolot.llm import exact_dedup as exact
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is under TOXIC; null and empty texts have none and stay."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.score(F.col("text"), model, spark) < TOXIC)
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
-    keep = exact.exact_dedup(docs).where("kept").select("doc_id")
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one document stays; null, empty and blank texts are equal."""
+    keep = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-STAGES = [("exact dedup", exact_dedup)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    keep = near_dedup.near_groups(docs).where("kept").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; those taken 0 times go."""
+    taken = mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies")
+    return docs.join(taken, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document; copies that the mix made give a row each."""
+    return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("toxicity", reject_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", mix), ("sentencepiece", encode)]
+
+#: A learned model, hashed rounding and a tokenizer can't be stated in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents; each stage's result is written before the next reads it."""
+    workspace = Workspace(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = workspace.write(docs, name.replace(" ", "-"))
     return docs
