@@ -39,7 +39,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those taken 0 times go."""
     taken = mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(taken, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(docs.columns)
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    return rows.join(taken, "doc_id").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
