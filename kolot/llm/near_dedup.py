@@ -16,7 +16,7 @@ PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 A = np.random.default_rng(20240229).integers(0, 1 << 64, PERMUTATIONS, np.uint64) | np.uint64(1)
 B = np.random.default_rng(20240301).integers(0, 1 << 64, PERMUTATIONS, np.uint64)
 #: Members of a bucket that are compared with others at once.
-CHUNK = 256
+CHUNK = 512
 
 
 def shingles(text: str, size: int = 5) -> np.ndarray:
@@ -121,23 +121,53 @@ def components(workspace: Workspace, links: DataFrame, name: str, most_rounds: i
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 
+def _sets(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "set": [shingles(t, size).tobytes() for t in batch["text"]]})
+
+    return run
+
+
 def _cross(percent: int):
-    """Pairs of members of two chunks that lie in different components and whose sizes and signatures allow a link.
+    """Links between members of two chunks of a bucket that lie in different components.
 
-    The signature's standard error at 75 % is under 4 points for 128 values; a pair must come
-    within 20 points of the limit, over five standard errors.
+    A pair is looked at in its first common band only. Sizes and signatures rule most pairs
+    out: the signature's standard error at 75 % is under 4 points for 128 values, and a pair
+    must come within 17 points of the limit, over four standard errors. The others are
+    confirmed on full sets.
     """
+    empty = pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
-    def run(chunks: pd.DataFrame) -> pd.DataFrame:
-        left, right = chunks[chunks["left"]], chunks[~chunks["left"]]
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("doc_id")
+        left, right = rows[rows["chunk"] == rows["i"]], rows[rows["chunk"] == rows["j"]]
         if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            return empty
+        band = int(rows["band"].iloc[0])
         x, y = (np.frombuffer(b"".join(d["sketch"]), np.uint16).reshape(len(d), -1) for d in (left, right))
-        agree = np.stack([(row == y).mean(1) for row in x])
-        n, m = left["n_shingles"].to_numpy()[:, None], right["n_shingles"].to_numpy()[None]
-        ok = (agree >= percent / 100 - 0.2) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None])
-        a, b = (d["doc_id"].to_numpy()[k] for d, k in zip((left, right), np.nonzero(ok), strict=True))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        keys, others = (np.stack(d["keys"].to_list()) for d in (left, right))
+        n, m = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
+        mine, theirs = left["component"].to_numpy(), right["component"].to_numpy()
+        ids, other_ids = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
+        sets = [np.frombuffer(b, np.uint64) for b in right["set"]]
+        a, b = [], []
+        for k in range(len(left)):
+            at = np.nonzero((mine[k] != theirs) & (100 * np.minimum(n[k], m) >= percent * np.maximum(n[k], m)))[0]
+            at = at[(x[k] == y[at]).mean(1) >= percent / 100 - 0.17]
+            at = at[(keys[k] == others[at]).argmax(1) == band]
+            if rows["i"].iloc[0] == rows["j"].iloc[0]:
+                at = at[other_ids[at] > ids[k]]
+            if not len(at):
+                continue
+            own = np.frombuffer(left["set"].iloc[k], np.uint64)
+            all_ = np.concatenate([sets[j] for j in at])
+            hit = own[np.minimum(np.searchsorted(own, all_), len(own) - 1)] == all_
+            both = np.add.reduceat(hit, np.cumsum([0, *m[at][:-1]]), dtype=np.int64)
+            for j in at[100 * both >= percent * (n[k] + m[at] - both)]:
+                a.append(min(ids[k], other_ids[j]))
+                b.append(max(ids[k], other_ids[j]))
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     return run
 
@@ -158,9 +188,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        75 % a pair shares no band once in 190,000. In each bucket all are compared, on full
        sets, with the bucket's smallest identifier.
     3. Buckets whose members then lie in several components are searched whole, chunk by
-       chunk: members of different components whose sizes and signatures allow a link are
-       compared on full sets too. Members of one component need no comparison, so large groups
-       of copies cost nothing here, and no bucket is capped.
+       chunk in as many tasks: members of different components whose sizes and signatures allow
+       a link are compared on full sets too, and only links leave the task. Members of one
+       component need no comparison, so large groups of copies cost nothing here, and no
+       bucket is capped.
     """
     workspace = Workspace(docs.sparkSession, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -170,30 +201,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = workspace.write(filled.select("doc_id", "high", "low", "n_shingles").join(classes, ["high", "low", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "members")
     # repeated rows have one representative row
     reps = member.where("doc_id = rep").select(F.col("rep").alias("doc_id")).distinct()
-    bands = filled.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
+    bands = filled.join(reps, "doc_id", "left_semi").select("doc_id", F.posexplode("keys").alias("band", "key"))
     sizes = bands.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"))
-    shared = workspace.write(bands.join(sizes.where("least < greatest"), "key").select("key", "doc_id", "least").distinct(), "buckets")
+    shared = workspace.write(bands.join(sizes.where("least < greatest"), "key").select("key", "band", "doc_id", "least").distinct(), "buckets")
     stars = shared.where("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = confirmed(workspace, stars, docs, "stars", size, percent)
     first = workspace.write(components(workspace, links, "first"), "first")
-    placed = shared.select("key", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    placed = workspace.write(placed, "placed")
-    # a bucket of two was compared by its star; larger ones need a look where components differ
-    mixed_up = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 and low < high").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    rest = placed.join(mixed_up, "key").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"))
-    rest = workspace.write(rest, "rest")
+    placed = workspace.write(shared.select("key", "band", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
+    # a bucket of two was compared by its star; larger ones need a look where components differ, and of those with the same members the first band's
+    mark = F.xxhash64("doc_id")
+    mixed_up = placed.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("y"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 and low < high")
+    looked_at = mixed_up.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("first")).select("first.key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    rest = workspace.write(placed.join(looked_at, "key").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int")), "rest")
+    final = first
     if not rest.isEmpty():
-        sketch = made.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch")
-        seen = rest.join(sketch, "doc_id")
-        # each pair of chunks i <= j meets once: a chunk is the left of those after it, and the right of those before
+        ids = rest.select("doc_id").distinct()
+        bits = workspace.write(bit_filter(ids, "doc_id"), "rest-bits")
+        sets = maybe_in(docs, "doc_id", bits).select("doc_id", "text").mapInPandas(_sets(size), "doc_id long, set binary")
+        features = made.select("doc_id", "n_shingles", "keys", "sketch").join(sets, "doc_id")
         own = F.col("chunk")
-        sides = F.concat(F.transform(F.sequence(own, F.col("chunks") - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(True).alias("left"))), F.transform(F.sequence(F.lit(0), own), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(False).alias("left"))))
-        met = seen.withColumn("side", F.explode(sides)).select("key", "side.*", "doc_id", "component", "n_shingles", "sketch")
-        pairs = met.groupBy("key", "i", "j").applyInPandas(_cross(percent), "a long, b long").where("a < b").distinct().join(stars, ["a", "b"], "left_anti")
-        links = links.unionByName(confirmed(workspace, pairs, docs, "rest", size, percent))
-        final = components(workspace, links, "last")
-    else:
-        final = first
+        pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+        met = rest.withColumn("pair", F.explode(pairs)).select("key", "band", "chunk", "pair.*", "doc_id", "component").join(features, "doc_id")
+        more = workspace.write(met.groupBy("key", "i", "j").applyInPandas(_cross(percent), "a long, b long"), "rest-links")
+        if not more.isEmpty():
+            final = components(workspace, links.unionByName(more), "last")
     out = member.select("doc_id", "n_shingles", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = out.unionByName(made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
