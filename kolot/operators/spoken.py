@@ -34,7 +34,7 @@ def _below_thousand(n: int, gender: str) -> list[str]:
     return parts + ([L.TENS[tens - 2]] if tens else []) + ([L.ONES[gender][ones]] if ones else [])
 
 
-def _scaled(count: int, one: str, two: str, few: str | None) -> str:
+def scaled(count: int, one: str, two: str, few: str | None) -> str:
     """A number of thousands or more: one and two have forms of their own, and so, of thousands, have three to ten."""
     if count <= 2:
         return one if count == 1 else two
@@ -55,7 +55,7 @@ def cardinal(n: int, gender: str = "f", bound: bool = False) -> str:
     for size, one, dual, few in ((10**9, L.MILLIARD, f"{two} {L.MILLIARD}", None), (10**6, L.MILLION, f"{two} {L.MILLION}", None), (1000, L.THOUSAND, L.TWO_THOUSAND, L.THOUSANDS)):
         count, n = divmod(n, size)
         if count:
-            parts.append(_scaled(count, one, dual, few))
+            parts.append(scaled(count, one, dual, few))
     return glued(parts + _below_thousand(n, gender))
 
 
