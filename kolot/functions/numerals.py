@@ -92,7 +92,7 @@ def digits(text: Column) -> Column:
 
 
 def decimal(n: Column, fraction: Column, cfg: Config = Config(), gender: str = "f", most: int = 2**63 - 1) -> Column:
-    return F.concat_ws(" ", cardinal(n, gender, most=most), F.lit(cfg.decimal_word), digits(fraction))
+    return F.concat(cardinal(n, gender, most=most), F.lit(f" {cfg.decimal_word} "), digits(fraction))
 
 
 def ordinal(n: Column, gender: str = "m", definite: bool = False, most: int = 2**63 - 1) -> Column:

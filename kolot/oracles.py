@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from kolot import lexicon as L
 from kolot.operators import passes as P
 from kolot.operators.rules import protect
@@ -123,11 +121,6 @@ def in_cents(keys: str, column: str, table: str, factor: int = 1) -> str:
 ASCII_ADDRESS = r"(^|[^0-9])([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})($|[^0-9])"
 
 
-def re2(pattern: str) -> str:
-    """A pattern of `passes` without look-around as RE2 reads it; RE2's $ and ^ are the text's unless (?m)."""
-    return q(re.sub(r"\(\?P=\w\)", "", pattern))
-
-
 def unescaped(text: str) -> str:
     return "".join(f"\\x{{{ord(c):04x}}}" if ord(c) > 126 else c for c in text)
 
@@ -141,8 +134,18 @@ def finalized(text: str) -> str:
     return f"regexp_replace({lines}, {ends}, '', 'g')"
 
 
-def protected(text: str) -> str:
-    """Spans of the protect rule. RE2's word boundaries are ASCII, so a letter beyond ASCII is handled by the caller's choice of rows."""
-    return f"regexp_extract_all({text}, {q(protect.PATTERN.replace(chr(92) + 'u0590', '֐'))})"
+def unmarked(text: str) -> str:
+    """strip_markdown over texts whose only marks are table rows and stars, as the documents' are."""
+    white = unescaped(P.WHITE)
+    trim = lambda x: f"regexp_replace({x}, '^[{white}]+|[{white}]+$', '', 'g')"
+    cells = f"array_to_string(list_filter(list_transform(string_split(r, '|'), lambda c: {trim('c')}), lambda c: c <> ''), ', ')"
+    closed = f"list_transform([{cells}], lambda j: CASE WHEN j = '' OR regexp_matches(j, '[{unescaped(P.ENDS_PHRASE)}]$') THEN j ELSE j || '.' END)[1]"
+    line = f"list_transform([{trim('l')}], lambda r: CASE WHEN r LIKE '|%' OR r LIKE '%|' THEN {closed} ELSE l END)[1]"
+    lines = f"array_to_string(list_transform(string_split({text}, E'\\n'), lambda l: {line}), E'\\n')"
+    bold = f"regexp_replace({lines}, '(?s)\\*\\*([^{white}](?:.*?[^{white}])??)\\*\\*', '\\1', 'g')"
+    return f"regexp_replace({bold}, '\\*([^{white}*](?:[^*\\n]*?[^{white}*])??)\\*', '\\1', 'g')"
 
 
+def protected(text: str) -> str:
+    """Spans of the protect rule; RE2 has all that its pattern needs, but its word boundaries are those of ASCII."""
+    return f"regexp_extract_all({text}, {q(protect.PATTERN)})"

@@ -79,17 +79,23 @@ def skeleton(text: Column, limits: Limits = Limits()) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(text, r"(?U)\d+", "#"), f"[^{own}#]+", ""))
 
 
+def filed(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Accepted lines with a category. A lambda binds the tidied text, which would else be computed again for each pattern, and the generator keeps filters behind it."""
+    looked_at = F.transform(F.array(tidy(F.col("text"))), lambda t: F.struct(t.alias("text"), F.when(acceptable(t, limits), categorize(t, limits)).alias("category")))
+    kept = F.explode(F.filter(looked_at, lambda x: x["category"].isNotNull()))
+    return lines.where("text IS NOT NULL").select("corpus", "corpus_order", "line_no", kept.alias("x")).select("corpus", "corpus_order", "line_no", "x.text", "x.category")
+
+
 def mine(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """From (corpus, corpus_order, line_no, text) to (corpus, corpus_order, line_no, text, category, skeleton).
 
     Of lines with one skeleton the first stays, across all corpora in their order. A minimum
-    that is aggregated before the shuffle finds it, so a line that repeats everywhere is no
-    hot group, and a semi-join keeps it.
+    that is aggregated before the shuffle carries it, so a line that repeats everywhere is no
+    hot group, and the lines are read once. Null texts are left out.
     """
-    filed = lines.where("text IS NOT NULL").withColumn("text", tidy(F.col("text"))).where(acceptable(F.col("text"), limits))
-    filed = filed.withColumn("category", categorize(F.col("text"), limits)).where("category IS NOT NULL").withColumn("skeleton", skeleton(F.col("text"), limits))
-    first = filed.groupBy("skeleton").agg(F.min(F.struct("corpus_order", "line_no")).alias("first")).select("skeleton", "first.*")
-    return filed.join(first, ["skeleton", "corpus_order", "line_no"], "left_semi").select("corpus", "corpus_order", "line_no", "text", "category", "skeleton")
+    rows = filed(lines, limits).withColumn("skeleton", skeleton(F.col("text"), limits))
+    first = F.min(F.struct("corpus_order", "line_no", "corpus", "text", "category")).alias("first")
+    return rows.groupBy("skeleton").agg(first).select("first.*", "skeleton").select("corpus", "corpus_order", "line_no", "text", "category", "skeleton")
 
 
 def sample(mined: DataFrame, target: int, seed: int = 0, by_code_point: bool = False) -> DataFrame:

@@ -209,12 +209,9 @@ def card_digits(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", V.card_words(F.col("text")).alias("words"))
 
 
-@query()
+@query(f"SELECT doc_id, array_to_string({O.protected('text')}, ' ') AS spans FROM documents")
 def protected_spans(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", quality.protected_spans(F.col("text")).alias("spans"))
-
-
-PLAIN_MARKS = r"(text LIKE '%`%' OR text LIKE '%~~%' OR text LIKE '%[%' OR text LIKE '%<%' OR text LIKE '%\%')"
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(quality.protected_spans(F.col("text")), " ").alias("spans"))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(text), '[\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}]', '', 'g'), '[\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', ' ', 'g') AS words FROM documents")
@@ -227,7 +224,7 @@ def finalize_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.finalize(F.col("text")).alias("words"))
 
 
-@query()
+@query(f"SELECT doc_id, {O.unmarked('text')} AS words FROM documents")
 def strip_markdown(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.strip_markdown(F.col("text")).alias("words"))
 
@@ -273,20 +270,22 @@ def mine_tidy(spark, sf_dir):
 
 @query(_MINED + "SELECT corpus, line_no FROM accepted")
 def mine_acceptable(spark, sf_dir):
-    tidied = _sentences(spark, sf_dir).withColumn("text", mining.tidy(F.col("text")))
-    return tidied.where(mining.acceptable(F.col("text"), LATIN)).select("corpus", "line_no")
+    return _filed(spark, sf_dir).select("corpus", "line_no")
 
 
 @query(_MINED + "SELECT corpus, line_no, category FROM filed")
 def mine_categorize(spark, sf_dir):
-    tidied = _sentences(spark, sf_dir).withColumn("text", mining.tidy(F.col("text")))
-    return tidied.where(mining.acceptable(F.col("text"), LATIN)).select("corpus", "line_no", mining.categorize(F.col("text"), LATIN).alias("category"))
+    return _filed(spark, sf_dir).select("corpus", "line_no", "category")
 
 
 @query(_MINED + "SELECT corpus, line_no, skeleton FROM filed")
 def mine_skeleton(spark, sf_dir):
-    tidied = _sentences(spark, sf_dir).withColumn("text", mining.tidy(F.col("text")))
-    return tidied.where(mining.acceptable(F.col("text"), LATIN)).select("corpus", "line_no", mining.skeleton(F.col("text"), LATIN).alias("skeleton"))
+    return _filed(spark, sf_dir).select("corpus", "line_no", mining.skeleton(F.col("text"), LATIN).alias("skeleton"))
+
+
+def _filed(spark, sf_dir) -> DataFrame:
+    """The last class takes every line, so these are all the accepted ones."""
+    return mining.filed(_sentences(spark, sf_dir), LATIN)
 
 
 def _mined(spark, sf_dir) -> DataFrame:

@@ -33,7 +33,7 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     header; `checked` raises for it.
     """
     rows = _lines(spark, path).where("trim(line) <> '' AND NOT startswith(line, '#')")
-    cells = F.transform(F.split("line", "\t"), F.trim)
+    cells = F.transform(F.split("line", "\t"), lambda c: F.trim(c))
     rows = rows.withColumn("cells", cells).withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("lineno")))
     cell = lambda i: F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
     problem = (
