@@ -109,3 +109,21 @@ def predict(text: Column, model: Model, spark) -> Column:
             yield pd.DataFrame([held.value.predict(t) for t in texts.fillna("")], columns=["lang_pred", "score"])
 
     return predicted(text)
+
+
+#: crc32 of a text, in SQL without such a function.
+CRC32 = "xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split({0}, ''), lambda c: ord(c)::UBIGINT), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT)"
+
+ORACLE = rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS steps),
+d AS (SELECT doc_id, lang, text IS NOT NULL AS has_text, {CRC32.format("doc_id::VARCHAR")} % 4 = 2 AS held_out, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', ' ', 'g')) AS words FROM documents, crc),
+l AS (SELECT doc_id, lang, has_text, held_out, string_split(' ' || words || ' ', '') AS c FROM d WHERE words <> ''),
+g AS (SELECT doc_id, lang, has_text, held_out, c[i] || CASE WHEN n > 1 THEN c[i + 1] ELSE '' END || CASE WHEN n > 2 THEN c[i + 2] ELSE '' END AS gram
+      FROM (SELECT *, unnest(range(1, len(c) - n + 2)) AS i FROM l, range(1, 4) r(n)) WHERE (n > 1 OR c[i] <> ' ') AND (n < 3 OR c[i + 1] <> ' ')),
+counted AS (SELECT doc_id, lang, has_text, held_out, gram, count(*) AS n FROM g GROUP BY ALL),
+own AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(gram), gram) - 1 AS place FROM counted QUALIFY place < {TOP}),
+profile AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(gram), gram) - 1 AS place FROM counted WHERE NOT held_out AND lang IS NOT NULL AND has_text GROUP BY lang, gram QUALIFY place < {TOP}),
+far AS (SELECT doc_id, k.lang, sum(coalesce(abs(own.place - p.place), {TOP})) AS places, count(*) AS grams FROM own CROSS JOIN (SELECT DISTINCT lang FROM profile) k LEFT JOIN profile p ON p.lang = k.lang AND p.gram = own.gram GROUP BY ALL),
+best AS (SELECT doc_id, lang, 1 - places / ({TOP} * grams) AS score FROM far QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY places, lang) = 1)
+SELECT d.doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(best.score, 0.0)::DOUBLE AS score FROM d LEFT JOIN best USING (doc_id)
+"""

@@ -74,4 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op5_line_frequency": line_frequency.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op7_language_id": language_id.ORACLE,
+    "op10_minhash": near_dedup.ORACLE,
 }
