@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kolot.llm.common import Workspace, text_or_empty
+from kolot.llm.common import Workspace, known_id, null_back, text_or_empty
 
 #: Words clustered one by one; words whose counts are broadcast; classes of clustered words.
 CLUSTERED, HEAD, CLASSES = 1500, 200_000, 64
@@ -198,7 +198,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     unigrams. score: log10 probability under class bigrams, WEIGHT, and add-one unigrams, the
     rest, which sum to one over words seen and a word never seen. Ties in counts: words by
     their bytes. Without a training row every token has probability 1 / 1 in the base and the
-    model's add-one share. Repeated rows give one output row each. An empty table gives an
+    model's add-one share. Repeated rows, and those with a null identifier, give one output row each. An empty table gives an
     empty result. Other columns are ignored.
 
     Counts are gathered of all training words. Those of the HEAD most frequent are broadcast;
@@ -207,7 +207,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     workspace = Workspace(spark, "class-lm")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
+    docs = docs.select(known_id(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     learned = docs.where("training")
     counts = workspace.write(word_counts(learned), "counts")
     model = class_model(counts, learned, learned.count())
@@ -225,4 +225,4 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     out = parts.drop("tail").join(found, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     score = F.col("score") + more
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
+    return null_back(out, "doc_id").select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))

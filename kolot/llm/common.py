@@ -57,6 +57,20 @@ def fold(id_col: str | Column, n: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % n
 
 
+#: Stands for a null identifier where rows pass through pandas, which has no null integer, or are joined.
+NO_ID = -(2**63)
+
+
+def known_id(id_col: str) -> Column:
+    """The identifier as a 64-bit integer, NO_ID for null; `null_back` turns it round."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+
+def null_back(df: DataFrame, *columns: str) -> DataFrame:
+    """NO_ID as null again."""
+    return df.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in columns})
+
+
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
@@ -85,6 +99,18 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return acc
 
 
+def joined_small(rows: DataFrame, side: DataFrame, key: str, spread: str, most: int = 50_000, salts: int = 32) -> DataFrame:
+    """rows joined with a side of one row for each key, without gathering a frequent key in one task.
+
+    The side is counted: up to `most` rows it is broadcast. A larger one is repeated for each
+    salt, and a key's rows are dealt over the salts by a hash of the column `spread`.
+    """
+    if side.count() <= most:
+        return rows.join(F.broadcast(side), key)
+    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+
+
 def bit_filter(keys: DataFrame, column: str, bits_log2: int = 22) -> DataFrame:
     """Rows (block, word) of a bitmap over hashes of a column: never more than 2 ** (bits_log2 - 6), whatever the input.
 

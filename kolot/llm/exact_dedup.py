@@ -61,7 +61,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with most code points stays, then the smallest identifier. Each input row gives one
     output row; rows repeated with their identifier are all marked kept if that identifier
     stays. An empty table gives an empty result. Other columns are ignored, whatever their
-    names. Identifiers must not be null.
+    names. Of equal texts of one length a null identifier comes last; it can stay, as null.
 
     Digests that occur more than once are hits: their rows' texts are compared byte for
     byte (least against greatest of each digest, aggregated before the shuffle). Where a
@@ -90,7 +90,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         split = again.groupBy("digest", "normalised").agg(F.max(F.struct("n_points", (-F.col("doc_id")).alias("negative"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
         regrouped = again.join(split, ["digest", "normalised"]).select("doc_id", (-F.col("best.negative")).alias("keep_id"), "group_size", sha256(F.col("normalised")).alias("text_sha256"), "digest")
         out = out.join(collided, "digest", "left_anti").unionByName(regrouped)
-    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 ORACLE = r"""

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolot.llm.common import Workspace, bit_filter, maybe_in, text_or_empty, window_hashes, word_hashes
+from kolot.llm.common import Workspace, bit_filter, known_id, maybe_in, null_back, text_or_empty, window_hashes, word_hashes
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -66,12 +66,12 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     depleted if removing its common lines leaves less than `least_left` of its words.
     base_failed: fewer than 50 words, or over half of them in repeated windows of three; null,
     empty and blank texts have no words and fail. kept: neither. Repeated rows give one output
-    row each. An empty table gives an empty result. Other columns are ignored. Lines and
+    row each, as do rows with a null identifier. An empty table gives an empty result. Other columns are ignored. Lines and
     contents are held as 64-bit hashes.
     """
     workspace = Workspace(docs.sparkSession, "line-rules")
     host = F.coalesce(F.concat(F.lit("s"), F.col(host_col).cast("string")), F.lit("-"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.alias("host"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(known_id(id_col).alias("doc_id"), host.alias("host"), text_or_empty(text_col).alias("text"))
     fields = ", ".join(f"{c} long" for c in COLUMNS[:-1])
     made = workspace.write(rows.mapInPandas(_measured, f"doc_id long, host string, {fields}, lines array<struct<hash: long, words: long>>"), "measures")
     one = made.groupBy("host", "content").agg(F.min("doc_id").alias("doc_id"))
@@ -85,7 +85,7 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = made.drop("lines").join(removed, ["host", "content"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("n_words") - F.col("removed_words") < least_left * F.col("n_words")
-    return out.select("doc_id", *COLUMNS[:5], failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_words")
+    return null_back(out, "doc_id").select("doc_id", *COLUMNS[:5], failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_words")
 
 
 ORACLE = r"""

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolot.llm.common import Workspace, bit_filter, maybe_in, mixed, text_or_empty, window_hashes, word_hashes
+from kolot.llm.common import Workspace, bit_filter, known_id, maybe_in, mixed, null_back, text_or_empty, window_hashes, word_hashes
 
 #: Multipliers and offsets of the permutations h -> a * h + b mod 2**64, a odd.
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
@@ -181,7 +181,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     set and no link. component_id is the smallest identifier reachable by links; the row with
     that identifier is kept. Repeated rows give one output row each. An empty table gives an
     empty result. Other columns are ignored. Identifiers must be distinct integers, but for
-    repeated rows.
+    repeated rows; a null one counts as the smallest, and as one document.
 
     1. Documents with equal sets collapse to their smallest identifier (a copy is never paired).
     2. Min-max signatures, 64 permutations with 128 values, in 32 bands of 4: at the limit of
@@ -194,7 +194,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        bucket is capped.
     """
     workspace = Workspace(docs.sparkSession, "near-dedup")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    docs = docs.select(known_id(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     made = workspace.write(signatures(docs, size), "signatures")
     filled = made.where("n_shingles > 0")
     classes = filled.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -227,7 +227,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             final = components(workspace, links.unionByName(more), "last")
     out = member.select("doc_id", "n_shingles", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = out.unionByName(made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return null_back(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "doc_id", "component_id")
 
 
 ORACLE = r"""

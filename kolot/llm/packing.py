@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolot.llm.common import text_or_empty
+from kolot.llm.common import NO_ID, known_id, text_or_empty
 
 
 @lru_cache(maxsize=4)
@@ -130,13 +130,15 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, length: int =
     Documents longer than `length` are cut into full pieces and a remainder, each a segment
     with its offset, so nothing is lost. Null and empty texts have no ids and are in no row.
     Each task packs what it reads, in windows of `window_tokens` ids that bound its memory:
-    no shuffle, and a lost task is simply run again. Repeated rows are packed each. An empty
+    no shuffle, and a lost task is simply run again. Repeated rows, and those with a null
+    identifier, are packed each. An empty
     table gives an empty result. Other columns are ignored.
     """
     with open(ranks_path, "rb") as f:
         ranks = f.read()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).where("text <> ''")
-    return pack(texts, ranks, pattern, length, window_tokens)
+    texts = docs.select(known_id(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).where("text <> ''")
+    packed = pack(texts, ranks, pattern, length, window_tokens)
+    return packed.withColumn("doc_ids", F.transform("doc_ids", lambda i: F.when(i != NO_ID, i)))
 
 
 def write_matrices(packed: DataFrame, path: str, length: int = 2048, pad_id: int = 0, rows_per_file: int = 4096) -> DataFrame:

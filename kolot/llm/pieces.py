@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kolot.llm.common import text_or_empty
+from kolot.llm.common import known_id, null_back, text_or_empty
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -149,7 +149,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     round_trip tells whether the decoded ids give the normalised text again, which they do
     unless a character is unknown and there is no byte fallback; a U+2581 in a text comes back
     as a blank and counts as equal to one. Null and empty texts have no ids and round_trip
-    true. Repeated rows give one output row each. An empty table gives an empty result. Other
+    true. Repeated rows, and those with a null identifier, give one output row each. An empty table gives an empty result. Other
     columns are ignored. Every distinct unit is compared with the sentencepiece library; a
     difference raises ParityError.
     """
@@ -167,8 +167,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 back = [own.decode(i) == own.normalise(t).replace(MARK, " ")[own.dummy_prefix :] for i, t in zip(ids, texts, strict=True)]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_ids": [len(i) for i in ids], "n_unknown": [i.count(own.unknown) for i in ids], "ids": ids, "round_trip": back})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_ids long, n_unknown long, ids array<int>, round_trip boolean")
+    rows = docs.select(known_id(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return null_back(rows.mapInPandas(run, "doc_id long, n_ids long, n_unknown long, ids array<int>, round_trip boolean"), "doc_id")
 
 
 def decode_ids(ids: Column, model_path: str, spark) -> Column:

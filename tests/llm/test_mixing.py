@@ -60,3 +60,12 @@ def test_pairwise_rounding_keeps_the_words(spark):
 
 def test_empty(spark):
     assert M.mix_sources(empty(spark)).count() == 0
+
+
+def test_join_by_salts(spark):
+    from kolot.llm.common import joined_small
+
+    rows, side = spark.range(100).selectExpr("id", "id % 3 AS key"), spark.range(2).selectExpr("id AS key", "id * 10 AS v")
+    want = sorted(map(tuple, rows.join(side, "key").collect()))
+    assert sorted(map(tuple, joined_small(rows, side, "key", "id").collect())) == want
+    assert sorted(map(tuple, joined_small(rows, side, "key", "id", most=1).collect())) == want

@@ -112,7 +112,7 @@ def test_class_lm(spark, tables):
         base = sum(math.log10((counts[w] + 1) / (n + len(counts) + 1)) for w in words)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(counts[w] > 0 for w in words), n)
         assert r["base_score"] == pytest.approx(base, abs=1e-6)
-    fresh = [r for r in got if r["doc_id"] < 1000000 and texts[r["doc_id"]]["held"]]
+    fresh = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 1000000 and texts[r["doc_id"]]["held"]]
     assert sum(r["score"] for r in fresh) > sum(r["base_score"] for r in fresh)
     assert class_lm.score_texts(empty(spark).withColumn("held", F.lit(False)), ~F.col("held")).count() == 0
 

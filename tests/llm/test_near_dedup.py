@@ -10,7 +10,7 @@ def sets(rows, size=5):
     out = {}
     for r in rows:
         w = (r["text"] or "").encode().lower().split()
-        out[r["doc_id"]] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+        out[-1 if r["doc_id"] is None else r["doc_id"]] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
     return out
 
 
@@ -29,7 +29,8 @@ def brute(rows):
             if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    return {(i, len(s[i]), find(i), find(i) == i) for i in s}
+    back = lambda i: None if i == -1 else i  # noqa: E731  a null identifier counts as the smallest
+    return {(back(i), len(s[i]), back(find(i)), find(i) == i) for i in s}
 
 
 def mutated(rng, words, n):

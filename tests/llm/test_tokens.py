@@ -17,7 +17,7 @@ def test_packing_loses_nothing(spark, tmp_path):
     path = P.path("byte_bpe_50k.tiktoken")
     packed = packing.pack_documents(docs, path, P.PATTERN, length=64, window_tokens=3000)
     encode = packing.encoder(open(path, "rb").read(), P.PATTERN).encode_ordinary
-    want = sorted((r["doc_id"], tuple(encode(r["text"]))) for r in docs.collect() if r["text"])
+    want = sorted((str(r["doc_id"]), tuple(encode(r["text"]))) for r in docs.collect() if r["text"])
     parts, full = {}, 0
     for r in packed.collect():
         ids = np.frombuffer(r["ids"], np.uint16)
@@ -25,7 +25,7 @@ def test_packing_loses_nothing(spark, tmp_path):
         assert r["position_resets"] == r["cu_seqlens"][:-1]
         full += len(ids)
         for d, at, a, b in zip(r["doc_ids"], r["offsets"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
-            parts.setdefault((d, at), []).append(tuple(ids[a:b].tolist()))
+            parts.setdefault((str(d), at), []).append(tuple(ids[a:b].tolist()))
     got = {}
     for (d, at), pieces_ in sorted(parts.items()):
         for k, p in enumerate(pieces_):
