@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kolot.llm.common import Workspace, known_id, null_back, text_or_empty
 
 #: Words clustered one by one; words whose counts are broadcast; classes of clustered words.
-CLUSTERED, HEAD, CLASSES = 1500, 200_000, 64
+CLUSTERED, HEAD, CLASSES = 1500, 100_000, 64
 #: Weight of the class model against the smoothed unigram.
 WEIGHT = 0.9
 #: Distinct words that a task sums up before it hands them on.
@@ -171,12 +171,14 @@ def class_model(counts: DataFrame, docs: DataFrame, ends: int, clustered: int =
     n, distinct = (totals[0] or 0) + ends, totals[1] + (ends > 0)
     top = counts.where(F.col("n") >= least_count(counts, head)).toPandas()
     held = dict(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))
+    del top
     first = sorted(held, key=lambda w: (-held[w], w))[:clustered]
     ids = {w: i for i, w in enumerate(first)}
     end = len(first)
     sums = docs.select("text").mapInPandas(_pairs(ids, end), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     pairs = np.zeros((end + 2) ** 2)
     pairs[sums["pair"].to_numpy(np.int64)] = sums["n"]
+    del sums
     pairs = pairs.reshape(end + 2, end + 2)
     at = exchange(pairs, classes)
     k = at[-1] + 1
