@@ -7,7 +7,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kolot.llm.common import WORD, Workspace, text_or_empty
+from kolot.llm.common import WORD, Workspace, joined_small, text_or_empty
 
 #: Documents, or residuals, that one node of the reduction tree rounds.
 FAN_IN = 256
@@ -108,16 +108,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     units = sizes.select("doc_id", key.alias("key"), "size")
 
     # large: 4096 documents of a source at most, since each holds more than that share of its words
-    large = units.join(targets, "key").where("size > bar").withColumn("u", uniform(seed, "doc_id"))
+    large = joined_small(units, targets, "key", "doc_id").where("size > bar").withColumn("u", uniform(seed, "doc_id"))
     large = large.groupBy("key", "target", "source_size").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "u")), asc=False).alias("large"))
     large = workspace.write(large.select("key", F.expr(POOLED.format(most=float(most), eps=EPS)).alias("r")), "large")
     pool = targets.join(large.select("key", F.col("r.target").alias("pool_target"), F.col("r.size").alias("pool_size")), "key", "left")
     rate = F.try_divide(F.coalesce("pool_target", "target"), F.coalesce("pool_size", "source_size"))
     rate = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), F.coalesce(rate, F.lit(0.0))))
     base = F.floor(rate + EPS)
-    pool = pool.select("key", "bar", base.alias("base"), F.when(rate - base <= EPS, 0.0).otherwise(rate - base).alias("p"))
+    pool = workspace.write(pool.select("key", "bar", base.alias("base"), F.when(rate - base <= EPS, 0.0).otherwise(rate - base).alias("p")), "pool")
     classes = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
-    small = units.join(pool, "key").where("size <= bar").withColumn("class", classes)
+    small = joined_small(units, pool, "key", "doc_id").where("size <= bar").withColumn("class", classes)
     counts = workspace.write(small.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / FAN_IN)), "classes")
     most_blocks = counts.agg(F.max("blocks")).first()[0] or 1
     levels = ceil(log(most_blocks, FAN_IN) - EPS)
@@ -143,6 +143,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    out = out.join(targets.select("key", "source", "source_size", "target"), "key")
+    out = joined_small(out, targets.select("key", "source", "source_size", "target"), "key", "doc_id")
     copies = F.col("copies").cast("long")
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"))
