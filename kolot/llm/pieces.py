@@ -18,7 +18,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct units whose ids a worker keeps.
-MOST_CACHED = 1_000_000
+MOST_CACHED = 150_000
 
 
 class ParityError(ValueError):
@@ -54,6 +54,7 @@ class Codec:
         self.charsmap = normalizers.Precompiled(norm.precompiled_charsmap) if norm.precompiled_charsmap else None
         self.bytes = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.special = {i for i, k in enumerate(self.kinds) if k in (UNKNOWN, CONTROL, BYTE)}
         if trainer.model_type == UNIGRAM:
             model = models.Unigram([(p.piece, p.score) for p in proto.pieces], self.unknown, byte_fallback=trainer.byte_fallback)
         elif trainer.model_type == BPE:
@@ -80,8 +81,6 @@ class Codec:
         return (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
 
     def _learn(self, units: list[str]) -> None:
-        if len(self.cache) > MOST_CACHED:
-            self.cache.clear()
         encoded = [tuple(e.ids) for e in self.backend.encode_batch_fast(units, add_special_tokens=False)]
         if self.verify:
             for unit, ids, whole in zip(units, encoded, self.expected(units), strict=True):
@@ -105,10 +104,11 @@ class Codec:
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.units.findall(self.normalise(t)) for t in texts]
         new = list(dict.fromkeys(u for units in cut for u in units if u not in self.cache))
+        if new and len(self.cache) + len(new) > MOST_CACHED:
+            self.cache.clear()
+            new = list(dict.fromkeys(chain.from_iterable(cut)))
         if new:
             self._learn(new)
-            if any(u not in self.cache for u in chain.from_iterable(cut)):  # the cache was cleared
-                self._learn(list(dict.fromkeys(chain.from_iterable(cut))))
         get = self.cache.__getitem__
         return [self._fused(list(chain.from_iterable(map(get, units)))) for units in cut]
 
@@ -120,6 +120,9 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes joined (wrong ones become U+FFFD), marks as blanks, the mark in front dropped, control pieces left out."""
+        if self.special.isdisjoint(ids):
+            text = "".join(map(self.pieces.__getitem__, ids)).replace(MARK, " ")
+            return text[1:] if self.dummy_prefix and text.startswith(" ") else text
         out, held = [], bytearray()
         for i in ids:
             if i in self.byte_of:

@@ -16,7 +16,7 @@ from kolot.llm.common import text_or_empty
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS_LOG2 = 22
-MOST_CACHED = 500_000
+MOST_CACHED = 100_000
 
 
 def word_terms(word: str) -> list[int]:

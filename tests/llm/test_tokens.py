@@ -112,3 +112,11 @@ def test_parity_is_checked():
     codec.expected = lambda units: [(1,)] * len(units)
     with pytest.raises(pieces.ParityError):
         codec.encode(["hello"])
+
+
+def test_small_cache(monkeypatch):
+    """However often the cache is emptied, ids are the same."""
+    monkeypatch.setattr(pieces, "MOST_CACHED", 5)
+    codec, sp = pieces.Codec(open(P.path("piece_bpe_32k.model"), "rb").read()), library()
+    for texts in (["a b c d"], ["a e f g h i j k", "a b"], ["b", "zz yy"]):
+        assert codec.encode(texts) == sp.encode(texts)
