@@ -18,7 +18,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct units whose ids a worker keeps.
-MOST_CACHED = 150_000
+MOST_CACHED = 250_000
 
 
 class ParityError(ValueError):
@@ -105,8 +105,8 @@ class Codec:
         cut = [self.units.findall(self.normalise(t)) for t in texts]
         new = list(dict.fromkeys(u for units in cut for u in units if u not in self.cache))
         if new and len(self.cache) + len(new) > MOST_CACHED:
-            self.cache.clear()
-            new = list(dict.fromkeys(chain.from_iterable(cut)))
+            # what this slice has of it stays: the frequent units
+            self.cache = {u: self.cache[u] for u in dict.fromkeys(chain.from_iterable(cut)) if u in self.cache}
         if new:
             self._learn(new)
         get = self.cache.__getitem__
