@@ -57,11 +57,11 @@ def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([batch[["doc_id", "host"]], pd.DataFrame([measures(t) for t in batch["text"]], columns=COLUMNS, index=batch.index)], axis=1)
 
 
-def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = 10, share: float = 0.01, least_left: float = 0.3) -> DataFrame:
+def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = 10, least_left: float = 0.3) -> DataFrame:
     """For each row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_words.
 
     A line (see `line_key`) is common on a host if more than `least_docs` of its distinct
-    documents, and more than `share` of them, hold it; a null host is a host of its own.
+    documents hold it, however many the host has; a null host is a host of its own.
     Documents with the same lines count as one, so copies make no line common. A document is
     depleted if removing its common lines leaves less than `least_left` of its words.
     base_failed: fewer than 50 words, or over half of them in repeated windows of three; null,
@@ -77,9 +77,7 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one = made.groupBy("host", "content").agg(F.min("doc_id").alias("doc_id"))
     distinct = made.join(one, ["host", "content", "doc_id"], "left_semi").dropDuplicates(["host", "content"])
     lines = distinct.select("host", "content", F.explode("lines").alias("line")).select("host", "content", F.xxhash64("host", "line.hash").alias("key"), F.col("line.words").alias("words"))
-    in_host = one.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    counted = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("host").alias("host")).where(F.col("n") > least_docs)
-    common = workspace.write(counted.join(in_host, "host").where(F.col("n") > share * F.col("docs")).select("key"), "common")
+    common = workspace.write(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_docs).select("key"), "common")
     bits = workspace.write(bit_filter(common, "key"), "common-bits")
     removed = maybe_in(lines, "key", bits).join(common, "key", "left_semi").groupBy("host", "content").agg(F.sum("words").alias("removed_words"))
     out = made.drop("lines").join(removed, ["host", "content"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))

@@ -27,3 +27,19 @@ def test_rules(spark):
 
 def test_empty(spark):
     assert L.line_rules(empty(spark)).count() == 0
+
+
+def spelled(i: int) -> str:
+    """A number in letters: digits count as equal."""
+    return "".join(chr(97 + int(c)) for c in str(i))
+
+
+def test_size_of_the_host_does_not_matter(spark):
+    """Twelve documents share a line, on a host of 12 and on one of 1500 distinct documents."""
+    common = "this line stands in twelve documents " * 20
+    texts = [(h, f"{common}\n" + " ".join(f"{h}{spelled(i)}x{spelled(k)}" for k in range(10))) for h in ("small", "large") for i in range(12)]
+    texts += [("large", " ".join(f"c{spelled(i)}x{spelled(k)}" for k in range(60))) for i in range(1488)]
+    docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(texts)], "doc_id long, text string, source string")
+    got = by_id(L.line_rules(docs))
+    assert [got[i]["removed_words"] for i in range(24)] == [120] * 24
+    assert not any(got[i]["kept"] for i in range(24)) and all(got[i]["kept"] for i in range(24, 1512))
