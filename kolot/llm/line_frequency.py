@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kolot.llm.common import Workspace, bit_filter, known_id, maybe_in, null_back, text_or_empty, window_hashes, word_hashes
@@ -54,7 +54,58 @@ COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.concat([batch[["doc_id", "host"]], pd.DataFrame([measures(t) for t in batch["text"]], columns=COLUMNS, index=batch.index)], axis=1)
+        yield pd.concat([batch[["doc_id", "row", "host"]], pd.DataFrame([measures(t) for t in batch["text"]], columns=COLUMNS, index=batch.index)], axis=1)
+
+
+def without_lines(text: str, hashes: set[int]) -> tuple[str, int]:
+    """The text without the lines of these hashes, and how many words went with them."""
+    left, words = [], 0
+    for line in text.split("\n"):
+        key = line_key(line)
+        if key and xxhash.xxh3_64_intdigest(key) - (1 << 63) in hashes:
+            words += key.count(b" ") + 1
+        else:
+            left.append(line)
+    return "\n".join(left), words
+
+
+def _cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [without_lines(t, set(h.tolist())) for t, h in zip(batch["text"], batch["hashes"], strict=True)]
+        yield pd.concat([batch[["doc_id", "row"]], pd.DataFrame(rows, columns=["cleaned", "removed_words"], index=batch.index)], axis=1)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> list[Column]:
+    """doc_id, host, text and row, a hash of the latter two that tells apart documents with one identifier."""
+    host = F.coalesce(F.concat(F.lit("s"), docs[host_col].cast("string")), F.lit("-"))
+    return [known_id(id_col).alias("doc_id"), host.alias("host"), text_or_empty(text_col).alias("text"), F.xxhash64(host, text_or_empty(text_col)).alias("row")]
+
+
+def _cleaned_texts(docs: DataFrame, id_col: str, text_col: str, host_col: str, least_docs: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's measures, and (doc_id, row, cleaned, removed_words) of the distinct documents that hold a common line."""
+    workspace = Workspace(docs.sparkSession, "line-rules")
+    rows = docs.select(*_rows(docs, id_col, text_col, host_col))
+    fields = ", ".join(f"{c} long" for c in COLUMNS[:-1])
+    made = workspace.write(rows.mapInPandas(_measured, f"doc_id long, row long, host string, {fields}, lines array<struct<hash: long, words: long>>"), "measures")
+    one = made.groupBy("host", "content").agg(F.min("doc_id").alias("doc_id"))
+    distinct = made.join(one, ["host", "content", "doc_id"], "left_semi").dropDuplicates(["host", "content"])
+    lines = distinct.select("host", "content", F.explode("lines.hash").alias("hash")).withColumn("key", F.xxhash64("host", "hash"))
+    common = workspace.write(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_docs).select("key"), "common")
+    bits = workspace.write(bit_filter(common, "key"), "common-bits")
+    removed = maybe_in(lines, "key", bits).join(common, "key", "left_semi").groupBy("host", "content").agg(F.collect_list("hash").alias("hashes"))
+    hits = workspace.write(made.select("doc_id", "row", "host", "content").join(removed, ["host", "content"]).select("doc_id", "row", "hashes").dropDuplicates(["doc_id", "row"]), "hits")
+    hit_bits = workspace.write(bit_filter(hits, "row"), "hit-bits")
+    # only the texts that lose a line are shuffled and written
+    texts = maybe_in(rows, "row", hit_bits).select("doc_id", "row", "text").dropDuplicates(["doc_id", "row"])
+    return made, workspace.write(texts.join(hits, ["doc_id", "row"]).mapInPandas(_cleaned, "doc_id long, row long, cleaned string, removed_words long"), "cleaned")
+
+
+def remove_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = 10) -> DataFrame:
+    """The rows of docs with all their columns, the text without its host's common lines (see `line_rules`); other lines, and null, stay as they are."""
+    _, cleaned = _cleaned_texts(docs, id_col, text_col, host_col, least_docs)
+    doc_id, _, _, row = _rows(docs, id_col, text_col, host_col)
+    out = docs.select(doc_id, row, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all")).join(cleaned, ["doc_id", "row"], "left")
+    return out.select(*(F.coalesce("cleaned", F.col("all")[c]).alias(c) if c == text_col else F.col("all")[c].alias(c) for c in docs.columns))
 
 
 def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = 10, least_left: float = 0.3) -> DataFrame:
@@ -63,24 +114,15 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line (see `line_key`) is common on a host if more than `least_docs` of its distinct
     documents hold it, however many the host has; a null host is a host of its own.
     Documents with the same lines count as one, so copies make no line common. A document is
-    depleted if removing its common lines leaves less than `least_left` of its words.
+    depleted if removing its common lines leaves less than `least_left` of its words;
+    removed_words counts what its text lost in that, which `remove_common_lines` gives.
     base_failed: fewer than 50 words, or over half of them in repeated windows of three; null,
     empty and blank texts have no words and fail. kept: neither. Repeated rows give one output
     row each, as do rows with a null identifier. An empty table gives an empty result. Other columns are ignored. Lines and
     contents are held as 64-bit hashes.
     """
-    workspace = Workspace(docs.sparkSession, "line-rules")
-    host = F.coalesce(F.concat(F.lit("s"), F.col(host_col).cast("string")), F.lit("-"))
-    rows = docs.select(known_id(id_col).alias("doc_id"), host.alias("host"), text_or_empty(text_col).alias("text"))
-    fields = ", ".join(f"{c} long" for c in COLUMNS[:-1])
-    made = workspace.write(rows.mapInPandas(_measured, f"doc_id long, host string, {fields}, lines array<struct<hash: long, words: long>>"), "measures")
-    one = made.groupBy("host", "content").agg(F.min("doc_id").alias("doc_id"))
-    distinct = made.join(one, ["host", "content", "doc_id"], "left_semi").dropDuplicates(["host", "content"])
-    lines = distinct.select("host", "content", F.explode("lines").alias("line")).select("host", "content", F.xxhash64("host", "line.hash").alias("key"), F.col("line.words").alias("words"))
-    common = workspace.write(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_docs).select("key"), "common")
-    bits = workspace.write(bit_filter(common, "key"), "common-bits")
-    removed = maybe_in(lines, "key", bits).join(common, "key", "left_semi").groupBy("host", "content").agg(F.sum("words").alias("removed_words"))
-    out = made.drop("lines").join(removed, ["host", "content"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    made, cleaned = _cleaned_texts(docs, id_col, text_col, host_col, least_docs)
+    out = made.drop("lines").join(cleaned.drop("cleaned"), ["doc_id", "row"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("n_words") - F.col("removed_words") < least_left * F.col("n_words")
     return null_back(out, "doc_id").select("doc_id", *COLUMNS[:5], failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_words")

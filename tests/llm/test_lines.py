@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from .helpers import by_id, documents, empty
 from kolot.llm import line_frequency as L
 
@@ -43,3 +45,24 @@ def test_size_of_the_host_does_not_matter(spark):
     got = by_id(L.line_rules(docs))
     assert [got[i]["removed_words"] for i in range(24)] == [120] * 24
     assert not any(got[i]["kept"] for i in range(24)) and all(got[i]["kept"] for i in range(24, 1512))
+
+
+def test_cleaned_text(spark):
+    """Common lines are gone from the text, in each copy and spelling; the others stay as they are."""
+    texts = [f"  Shared LINE {i % 10}\n\nown {spelled(i)}\tline \n shared  line 7\nlast {spelled(i)}" for i in range(12)]
+    docs = documents(spark, [*texts, texts[0]]).withColumn("source", F.lit("one"))
+    cleaned, rules = L.remove_common_lines(docs), by_id(L.line_rules(docs))
+    assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
+    got = by_id(cleaned)
+    for i in range(13):
+        assert (got[i]["text"], rules[i]["removed_words"]) == (f"\nown {spelled(i % 12)}\tline \nlast {spelled(i % 12)}", 6)
+    assert [got[i]["text"] for i in (13, 14, 15, None)] == [None, "", " \n\t ", "a text without an identifier"]
+    for i, r in rules.items():
+        assert len((got[i]["text"] or "").split()) == r["n_words"] - r["removed_words"]
+
+
+def test_documents_with_one_identifier_are_cleaned_apart(spark):
+    rows = [(7 if i < 2 else i, f"shared line\nown {spelled(i)}", "one") for i in range(12)] + [(7, "other text", "one"), (7, "shared line\nalone", "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(r["text"] for r in L.remove_common_lines(docs).where("doc_id = 7").collect())
+    assert got == ["other text", "own a", "own b", "own h", "shared line\nalone"]
