@@ -1,8 +1,8 @@
 """The corpus pipeline: toxic documents go, copies and near copies leave one document each, sources are mixed, texts become ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the
-columns of documents. Decisions are joined by doc_id, so documents that repeat an identifier
-share its fate, but for exact copies of whole rows, of which exact dedup leaves one.
+columns of documents. Decisions are joined by identifier and text, so documents without an
+identifier, or with the same one, are each decided on their own.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kolot.llm import exact_dedup, mixing, near_dedup, pieces, toxicity
-from kolot.llm.common import Workspace, table
+from kolot.llm.common import Workspace, known_id, table, text_or_empty
 
 #: Documents that score this or more are rejected.
 TOXIC = 0.7
@@ -24,23 +24,35 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.where(toxicity.score(F.col("text"), model, spark) < TOXIC)
 
 
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Rows (key, row): a hash of these columns, which unlike an identifier is never null nor shared by different documents."""
+    return docs.select(F.xxhash64(*(F.col(f"`{c}`") for c in columns)).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays; null, empty and blank texts are equal."""
-    keep = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of equal texts one document stays, the longest as written; null, empty and blank texts are equal."""
+    keep = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
+    text = text_or_empty("row.text")
+    rows = keyed(docs, *docs.columns).withColumn("sha", exact_dedup.sha256(F.regexp_replace(text, exact_dedup.SPACE, "")))
+    rows = rows.join(keep, (rows["sha"] == keep["sha"]) & rows["row.doc_id"].eqNullSafe(keep["id"]), "left_semi")
+    # rows that share the identifier too: the longest, then by hash
+    return rows.groupBy("sha").agg(F.max_by("row", F.struct(F.char_length(text), "key")).alias("row")).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    keep = near_dedup.near_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """Of each group of near-duplicates the document with the smallest identifier stays, null first."""
+    rows = keyed(docs, "doc_id", "text")
+    groups = near_dedup.near_groups(rows.select("key", "row.text"), id_col="key").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = rows.select("key", known_id("row.doc_id").alias("id")).distinct()
+    keep = groups.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least")).select("least.key")
+    return rows.join(keep, "key", "left_semi").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; those taken 0 times go."""
-    taken = mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
-    return rows.join(taken, "doc_id").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*")
+    """Each document as often as the mix takes it; those taken 0 times go. Rows equal in all columns are one row that is taken as often as they are together."""
+    rows = keyed(docs, *docs.columns)
+    taken = mixing.mix_sources(rows.select("key", "row.text", "row.source"), id_col="key").where("copies > 0").groupBy(F.col("doc_id").alias("key")).agg(F.sum("copies").alias("times"))
+    return rows.dropDuplicates(["key"]).join(taken, "key").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,18 @@ def test_hashed_rounding_repeats(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     once, again = (sorted(map(tuple, C.mix(spark, d, SF).select("doc_id").collect())) for d in (docs, docs.repartition(5)))
     assert once == again
+
+
+def test_documents_without_an_identifier_of_their_own(spark):
+    """Null and shared identifiers: each document is decided on its own, by its text."""
+    words = lambda c, n=60: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b") + " \n"), (5, words("b")), (7, words("c")), (7, words("d")), (7, words("d")), (8, words("e")), (7, words("e") + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "one", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    exact = C.drop_copies(spark, docs, SF)
+    want = [rows[k] for k in (0, 2, 4, 5, 7, 8)]
+    assert exact.columns == docs.columns and got(exact) == sorted(want, key=str)
+    near = C.drop_near_copies(spark, exact, SF)
+    assert near.columns == docs.columns and got(near) == sorted([w for w in want if w[0] != 8], key=str)
+    # the mix of one source takes each document once, rows that repeat too
+    assert got(C.mix(spark, docs, SF)) == sorted(rows, key=str)
