@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kolot.llm.common import known_id, null_back, text_or_empty
+from kolot.llm.common import text_or_empty
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct units whose ids a worker keeps.
 MOST_CACHED = 250_000
+#: Units that both libraries encode as one text.
+GROUP = 16
 
 
 class ParityError(ValueError):
@@ -32,12 +36,15 @@ class Codec:
     Texts are cut before each run of marks; where no piece holds a mark after another
     character, no merge crosses such a cut, so a text's ids are those of its units one after
     another. Otherwise the whole text is one unit. Each distinct unit is encoded once in a
-    worker, in multithreaded batches, and compared with the sentencepiece library then.
+    worker, in multithreaded batches, decoded again, and compared with the sentencepiece
+    library. Texts with a unit that the library can't be given alone (`alone`) are compared
+    whole. Whitespace as a suffix, unescaped whitespace and user-defined symbols are refused.
     """
 
     data: bytes
     verify: bool = True
-    cache: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    cache: dict[str, bytes] = field(default_factory=dict)  # ids of a unit, as int32
+    lossy: set[str] = field(default_factory=set)  # units whose ids don't give them back
 
     def __post_init__(self):
         from sentencepiece import SentencePieceProcessor
@@ -47,6 +54,8 @@ class Codec:
         proto = pb.ModelProto()
         proto.ParseFromString(self.data)
         norm, trainer = proto.normalizer_spec, proto.trainer_spec
+        if trainer.treat_whitespace_as_suffix or not norm.escape_whitespaces or any(p.type == USER_DEFINED for p in proto.pieces):
+            raise ValueError("whitespace suffixes, unescaped whitespace and user-defined symbols are not supported")
         self.pieces = [p.piece for p in proto.pieces]
         self.kinds = [p.type for p in proto.pieces]
         self.unknown = self.kinds.index(UNKNOWN)
@@ -54,19 +63,20 @@ class Codec:
         self.charsmap = normalizers.Precompiled(norm.precompiled_charsmap) if norm.precompiled_charsmap else None
         self.bytes = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.special = {i for i, k in enumerate(self.kinds) if k in (UNKNOWN, CONTROL, BYTE)}
+        self.begins = np.array([p.startswith(MARK) and k != BYTE for p, k in zip(self.pieces, self.kinds, strict=True)])
+        self.whole: set[str] = set()  # units that are compared in whole texts only
         if trainer.model_type == UNIGRAM:
             model = models.Unigram([(p.piece, p.score) for p in proto.pieces], self.unknown, byte_fallback=trainer.byte_fallback)
         elif trainer.model_type == BPE:
             # a merge for each way to make a piece of two others, in the order of the pieces' scores
-            usable = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (NORMAL, USER_DEFINED, UNUSED)}
+            usable = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (NORMAL, UNUSED)}
             order = sorted((i for p, i in usable.items() if len(p) > 1), key=lambda i: -proto.pieces[i].score)
             merges = [(p[:k], p[k:]) for p in (self.pieces[i] for i in order) for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable]
             model = models.BPE({p: i for i, p in enumerate(self.pieces)}, merges, unk_token=self.pieces[self.unknown], fuse_unk=True, byte_fallback=trainer.byte_fallback)
         else:
             raise ValueError(f"model type {trainer.model_type} is neither unigram nor BPE")
         self.backend = Tokenizer(model)
-        self.cuts = all(MARK not in p.lstrip(MARK) for p in self.pieces) and trainer.split_by_whitespace and not trainer.treat_whitespace_as_suffix
+        self.cuts = all(MARK not in p.lstrip(MARK) for p in self.pieces) and trainer.split_by_whitespace
         self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if self.cuts else re.compile(r"(?s).+")
         self.reference = SentencePieceProcessor(model_proto=self.data)
 
@@ -80,49 +90,97 @@ class Codec:
             return ""
         return (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
 
+    def alone(self, unit: str) -> str | None:
+        """What the library is given to encode just these units; None where it would read anything else into them."""
+        if not self.cuts or self.charsmap:
+            return None
+        if not self.dummy_prefix:
+            return None if self.squeeze else unit.replace(MARK, " ")
+        bare = unit[1:]
+        if not bare or unit[0] != MARK or self.squeeze and (MARK in unit[-1] or MARK * 2 in unit):
+            return None
+        return bare.replace(MARK, " ")
+
     def _learn(self, units: list[str]) -> None:
-        encoded = [tuple(e.ids) for e in self.backend.encode_batch_fast(units, add_special_tokens=False)]
+        """Units of one mark and what follows it are encoded GROUP at a time: a piece with a mark begins the next one."""
+        simple = [u for u in units if u.rfind(MARK) == 0 and len(u) > 1] if self.alone(MARK + "x") else []
+        groups = [simple[k : k + GROUP] for k in range(0, len(simple), GROUP)]
+        ids = self._encoded(list(map("".join, groups)))
+        flat = np.array(list(chain.from_iterable(ids)), np.int32)
+        ends = np.append(np.nonzero(self.begins[flat])[0], len(flat))
+        if len(ends) == len(simple) + 1 and len(simple) > 1:
+            self._keep(simple, flat, ends)
+            units = list(set(units).difference(simple))
+        ids = self._encoded(units)
+        self._keep(units, np.array(list(chain.from_iterable(ids)), np.int32), np.cumsum([0, *map(len, ids)]))
+
+    def _encoded(self, units: list[str]) -> list[list[int]]:
+        encoded = [e.ids for e in self.backend.encode_batch_fast(units, add_special_tokens=False)]
         if self.verify:
-            for unit, ids, whole in zip(units, encoded, self.expected(units), strict=True):
-                if ids != whole:
-                    raise ParityError(f"{unit!r}: {ids} here, {whole} in the library")
-        self.cache.update(zip(units, encoded, strict=True))
-
-    def expected(self, units: list[str]) -> list[tuple[int, ...]]:
-        """The library's ids of units. A unit that begins with a mark is given without it where the library adds one."""
-        own = [u for u in units if self.dummy_prefix and u.startswith(MARK) and u != MARK and not self.squeeze]
-        done = dict(zip(own, map(tuple, self.reference.encode([u[1:].replace(MARK, " ") for u in own], num_threads=2)), strict=True))
-        for u in units:
-            if u not in done:
-                done[u] = self._bare(u)
-        return [done[u] for u in units]
-
-    def _bare(self, unit: str) -> tuple[int, ...]:
-        """Units that the library can't be given alone (no mark in front, or nothing else): none but the backend's ids."""
-        return tuple(self.backend.encode(unit, add_special_tokens=False).ids)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+            given, here = list(map(self.alone, units)), encoded
+            if None in given:
+                self.whole.update(u for u, g in zip(units, given, strict=True) if g is None)
+                known = [k for k, g in enumerate(given) if g is not None]
+                given, here = [given[k] for k in known], [encoded[k] for k in known]
+            for text, ids, there in self._differences(given, here):
+                raise ParityError(f"{text!r}: {ids} here, {there} in the library")
+        return encoded
+
+    def _keep(self, units: list[str], flat: np.ndarray, ends: np.ndarray) -> None:
+        """Ids of units one after another; those of unit k end where those of the next begin."""
+        data, ids = flat.tobytes(), flat.tolist()
+        spelled = list(map(self.pieces.__getitem__, ids))
+        bounds = ends.tolist()
+        for unit, a, b in zip(units, bounds, bounds[1:], strict=False):
+            self.cache[unit] = data[4 * a : 4 * b]
+            if "".join(spelled[a:b]) != unit and self._spelled(ids[a:b]) != unit:
+                self.lossy.add(unit)
+
+    def _differences(self, texts: list[str], here: list[list[int]]) -> Iterator[tuple[str, list[int], list[int]]]:
+        there = self.reference.encode(texts, num_threads=1) if texts else []
+        if there != here:
+            yield from ((t, a, b) for t, a, b in zip(texts, here, there, strict=True) if a != b)
+
+    def encode_slice(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """The ids of each text, as int32, and whether they give its normalised form again."""
         cut = [self.units.findall(self.normalise(t)) for t in texts]
-        new = list(dict.fromkeys(u for units in cut for u in units if u not in self.cache))
+        seen = set(chain.from_iterable(cut))
+        new = list(seen.difference(self.cache))
         if new and len(self.cache) + len(new) > MOST_CACHED:
             # what this slice has of it stays: the frequent units
-            self.cache = {u: self.cache[u] for u in dict.fromkeys(chain.from_iterable(cut)) if u in self.cache}
+            self.cache = {u: self.cache[u] for u in seen if u in self.cache}
+            self.lossy &= seen
+            self.whole &= seen
         if new:
-            self._learn(new)
+            gc.disable()  # the many small objects made here hold no cycles
+            try:
+                self._learn(new)
+            finally:
+                gc.enable()
         get = self.cache.__getitem__
-        return [self._fused(list(chain.from_iterable(map(get, units)))) for units in cut]
+        out = [self._fused(b"".join(map(get, units))) for units in cut]
+        whole, lossy = self.whole & seen, self.lossy & seen
+        if whole:
+            some = [k for k, units in enumerate(cut) if not whole.isdisjoint(units)]
+            for text, ids, there in self._differences([texts[k] for k in some], [np.frombuffer(out[k], np.int32).tolist() for k in some]):
+                raise ParityError(f"{text!r}: {ids} here, {there} in the library")
+        return out, [lossy.isdisjoint(units) for units in cut] if lossy else [True] * len(texts)
 
-    def _fused(self, ids: list[int]) -> list[int]:
-        """Without byte fallback, unknown ids side by side are one, across units too."""
-        if self.bytes or self.unknown not in ids:
-            return ids
-        return [i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != self.unknown]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(b, np.int32).tolist() for b in self.encode_slice(texts)[0]]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: bytes joined (wrong ones become U+FFFD), marks as blanks, the mark in front dropped, control pieces left out."""
-        if self.special.isdisjoint(ids):
-            text = "".join(map(self.pieces.__getitem__, ids)).replace(MARK, " ")
-            return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+    def _fused(self, data: bytes) -> bytes:
+        """Without byte fallback, unknown ids side by side are one, across units too."""
+        if self.bytes:
+            return data
+        ids = np.frombuffer(data, np.int32)
+        lost = ids == self.unknown
+        again = np.zeros(len(ids), bool)
+        again[1:] = lost[1:] & lost[:-1]
+        return ids[~again].tobytes() if again.any() else data
+
+    def _spelled(self, ids: list[int]) -> str:
+        """Pieces and bytes joined (wrong bytes become U+FFFD), control pieces left out; ids that are no piece's, and null, count as unknown."""
         out, held = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -131,12 +189,16 @@ class Codec:
             if held:
                 out.append(held.decode("utf-8", "replace"))
                 held.clear()
-            if self.kinds[i] == UNKNOWN:
+            if i is None or not 0 <= i < len(self.pieces) or self.kinds[i] == UNKNOWN:
                 out.append(" ⁇ ")
             elif self.kinds[i] != CONTROL:
                 out.append(self.pieces[i])
         out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        return "".join(out)
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: see `_spelled`; marks as blanks, the mark in front dropped."""
+        text = self._spelled(ids).replace(MARK, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -153,36 +215,37 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     unless a character is unknown and there is no byte fallback; a U+2581 in a text comes back
     as a blank and counts as equal to one. Null and empty texts have no ids and round_trip
     true. Repeated rows, and those with a null identifier, give one output row each. An empty table gives an empty result. Other
-    columns are ignored. Every distinct unit is compared with the sentencepiece library; a
-    difference raises ParityError.
+    columns are ignored. Every distinct unit, or the whole text where it has to be that, is
+    compared with the sentencepiece library; a difference raises ParityError.
     """
     with open(model_path, "rb") as f:
         data = f.read()
     held = docs.sparkSession.sparkContext.broadcast(data)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(held.value, verify)
         for batch in batches:
             for at in range(0, len(batch), slice_rows):
-                part = batch.iloc[at : at + slice_rows]
-                texts = part["text"].tolist()
-                ids = own.encode(texts)
-                back = [own.decode(i) == own.normalise(t).replace(MARK, " ")[own.dummy_prefix :] for i, t in zip(ids, texts, strict=True)]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_ids": [len(i) for i in ids], "n_unknown": [i.count(own.unknown) for i in ids], "ids": ids, "round_trip": back})
+                part = batch.slice(at, slice_rows)
+                ids, back = own.encode_slice(part["text"].to_pylist())
+                values = np.frombuffer(b"".join(ids), np.int32)
+                ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
+                lost = np.concatenate([[0], np.cumsum(values == own.unknown)])[ends]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(np.diff(ends)), pa.array(np.diff(lost)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)), pa.array(back)], ["doc_id", "n_ids", "n_unknown", "ids", "round_trip"])
 
-    rows = docs.select(known_id(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return null_back(rows.mapInPandas(run, "doc_id long, n_ids long, n_unknown long, ids array<int>, round_trip boolean"), "doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_ids long, n_unknown long, ids array<int>, round_trip boolean")
 
 
 def decode_ids(ids: Column, model_path: str, spark) -> Column:
-    """The text of an array of ids; null for null."""
+    """The text of an array of ids; null for null, nothing for an empty one. An id that is no piece's, or null, reads as the unknown piece."""
     with open(model_path, "rb") as f:
         held = spark.sparkContext.broadcast(f.read())
 
-    @F.pandas_udf("string")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(held.value)
         for batch in batches:
-            yield batch.map(lambda x: None if x is None else own.decode(list(x)))
+            yield pa.array([None if x is None else own.decode(x) for x in batch.to_pylist()], pa.string())
 
     return decoded(ids)

@@ -107,11 +107,69 @@ def test_unigram_model():
         assert codec.decode(sp.encode(text)) == text
 
 
-def test_parity_is_checked():
-    codec = pieces.Codec(open(P.path("piece_bpe_32k.model"), "rb").read())
-    codec.expected = lambda units: [(1,)] * len(units)
-    with pytest.raises(pieces.ParityError):
-        codec.encode(["hello"])
+def made(model_type=1, prefix=True, squeeze=False, fallback=True, **spec):
+    """A small protobuf made by hand."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = model_type, fallback
+    proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces = prefix, squeeze
+    proto.trainer_spec.treat_whitespace_as_suffix = spec.get("suffix", False)
+    proto.normalizer_spec.escape_whitespaces = spec.get("escape", True)
+    if spec.get("rule"):
+        from sentencepiece import SentencePieceNormalizer
+
+        like = pb.ModelProto()
+        like.ParseFromString(SentencePieceNormalizer(rule_name=spec["rule"]).serialized_model_proto())
+        proto.normalizer_spec.precompiled_charsmap = like.normalizer_spec.precompiled_charsmap
+    rows = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((f"<0x{b:02X}>", -20, 6) for b in range(256 * fallback)), ("▁", -2, 1), ("a", -2, 1), ("b", -2, 1), ("ab", -3.5, 1), ("▁ab", -4, 1)]
+    for piece, score, kind in [*rows, *[("<x>", 0, 4)] * spec.get("symbols", 0)]:
+        proto.pieces.add(piece=piece, score=score, type=kind)
+    return proto.SerializeToString()
+
+
+KINDS = [dict(prefix=p, squeeze=q, fallback=f) for p in (True, False) for q in (True, False) for f in (True, False)] + [dict(squeeze=True, fallback=True, rule="nmt_nfkc")]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_every_kind_equals_the_library(kind):
+    from sentencepiece import SentencePieceProcessor
+
+    data = made(**kind)
+    sp, codec = SentencePieceProcessor(model_proto=data), pieces.Codec(data)
+    for text in ("ab ab", "  abab   b ", "bé éé ab", "", " ", "a b"):
+        assert codec.encode([text])[0] == sp.encode(text)
+    if kind["fallback"] and not kind["squeeze"]:
+        assert codec.encode_slice(["bé  ab "])[1] == [True]
+    if not kind["fallback"]:
+        assert codec.encode_slice(["ab", "bé ab"])[1] == [True, False]
+
+
+@pytest.mark.parametrize("kind", [{}, *KINDS])
+def test_parity_is_checked(kind):
+    """A library that answers nonsense is noticed whatever the model's normaliser does."""
+    codec = pieces.Codec(made(**kind) if kind else open(P.path("piece_bpe_32k.model"), "rb").read())
+
+    class Nonsense:
+        def encode(self, texts, num_threads=1):
+            return [[1]] * len(texts)
+
+    codec.reference = Nonsense()
+    for text in ("ab", " ab b", "a"):
+        with pytest.raises(pieces.ParityError):
+            codec.encode([text])
+
+
+@pytest.mark.parametrize("spec", [{"suffix": True}, {"escape": False}, {"symbols": 1}])
+def test_what_is_not_supported_is_refused(spec):
+    with pytest.raises(ValueError, match="not supported"):
+        pieces.Codec(made(**spec))
+
+
+def test_ids_of_no_piece(spark):
+    rows = spark.createDataFrame([([5, -1, 10**6, None],), ([],), (None,)], "ids array<int>")
+    got = [r[0] for r in rows.select(pieces.decode_ids(F.col("ids"), P.path("piece_bpe_32k.model"), spark)).collect()]
+    assert got[0].count("⁇") == 3 and got[1:] == ["", None]
 
 
 def test_small_cache(monkeypatch):
