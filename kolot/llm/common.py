@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -19,26 +22,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (one machine, tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own on a local master (one machine, tests); elsewhere an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="kolot-")
-        if not current.isDefined():
+        if current.isDefined():
+            folder = current.get()
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            folder = tempfile.mkdtemp(prefix="kolot-")
             spark.sparkContext.setCheckpointDir(folder)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return folder.rstrip("/")
 
 
+_open: list[Workspace] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the workspaces that operators make inside it: results must be consumed (written, collected) before it ends."""
+    before = len(_open)
+    try:
+        yield
+    finally:
+        for workspace in _open[before:]:
+            workspace.remove()
+
+
 class Workspace:
     """A new subfolder of the shared folder, in which an operator's intermediate tables are written.
 
     A written table cuts lineage and outlives any executor. The tables stay until the
-    caller has consumed the result; `remove` deletes them.
+    caller has consumed the result: `scratch` removes them then, or `remove` one by one.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        _open.append(self)
 
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.path}/{name}"
@@ -49,6 +71,8 @@ class Workspace:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if self in _open:
+            _open.remove(self)
 
 
 def fold(id_col: str | Column, n: int) -> Column:
@@ -99,16 +123,33 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return acc
 
 
-def joined_small(rows: DataFrame, side: DataFrame, key: str, spread: str, most: int = 50_000, salts: int = 32) -> DataFrame:
+def joined_small(rows: DataFrame, side: DataFrame, key: str | list[str], spread: str, most: int = 50_000, salts: int = 32) -> DataFrame:
     """rows joined with a side of one row for each key, without gathering a frequent key in one task.
 
     The side is counted: up to `most` rows it is broadcast. A larger one is repeated for each
     salt, and a key's rows are dealt over the salts by a hash of the column `spread`.
     """
+    keys = [key] if isinstance(key, str) else key
     if side.count() <= most:
-        return rows.join(F.broadcast(side), key)
+        return rows.join(F.broadcast(side), keys)
     salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
+#: A key with more rows than this is dealt over several tasks by `joined_salted`.
+HOT = 5_000
+
+
+def joined_salted(rows: DataFrame, side: DataFrame, key: str, bits: DataFrame, *spread: str, salts: int = 64) -> DataFrame:
+    """rows joined with a large side of one row for each key, the rows of hot keys dealt over `salts` tasks by a hash of the columns `spread`.
+
+    bits is a `bit_filter` of the hot keys. Both sides look a key up in it, so a false
+    positive is dealt out on both.
+    """
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int")
+    dealt = tested(rows, key, bits, "_hot").withColumn("_salt", salt).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(tested(side, key, bits, "_hot").withColumn("_salt", F.explode(copies)).drop("_hot"), [key, "_salt"]).drop("_salt")
 
 
 def bit_filter(keys: DataFrame, column: str, bits_log2: int = 22) -> DataFrame:
@@ -121,8 +162,13 @@ def bit_filter(keys: DataFrame, column: str, bits_log2: int = 22) -> DataFrame:
     return keys.select(F.shiftright(slot, 6).cast("int").alias("_block"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("_bit")).groupBy("_block").agg(F.bit_or("_bit").alias("_word"))
 
 
-def maybe_in(df: DataFrame, column: str, bits: DataFrame, bits_log2: int = 22) -> DataFrame:
-    """Rows whose column may be among the keys of a `bit_filter`, which is broadcast: its size is bounded."""
+def tested(df: DataFrame, column: str, bits: DataFrame, name: str, bits_log2: int = 22) -> DataFrame:
+    """df with a boolean column: whether a column's value may be among the keys of a `bit_filter`, which is broadcast: its size is bounded."""
     slot = F.xxhash64(column).bitwiseAND((1 << bits_log2) - 1)
-    hit = F.expr("shiftright(_word, cast(_slot & 63 as int)) & 1") == 1
-    return df.withColumn("_slot", slot).withColumn("_block", F.shiftright("_slot", 6).cast("int")).join(F.broadcast(bits), "_block").where(hit).drop("_slot", "_block", "_word")
+    hit = F.expr("coalesce(shiftright(_word, cast(_slot & 63 as int)) & 1, 0)") == 1
+    return df.withColumn("_slot", slot).withColumn("_block", F.shiftright("_slot", 6).cast("int")).join(F.broadcast(bits), "_block", "left").withColumn(name, hit).drop("_slot", "_block", "_word")
+
+
+def maybe_in(df: DataFrame, column: str, bits: DataFrame, bits_log2: int = 22) -> DataFrame:
+    """Rows whose column may be among the keys of a `bit_filter`."""
+    return tested(df, column, bits, "_maybe", bits_log2).where("_maybe").drop("_maybe")

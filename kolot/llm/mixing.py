@@ -14,23 +14,29 @@ FAN_IN = 256
 EPS = 1e-9
 
 
-def source_targets(sizes: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def source_targets(sizes: DataFrame, workspace: Workspace, most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Rows (source, source_size, target): shares of all sizes by weight, none above `most` times its source.
 
-    Sources by code point, null last, get the weights in turn. A source is full where the
-    level that fills the others exceeds its own bound per weight; with sources in the order
-    of that bound, running sums find the first that isn't, and its level holds for the rest.
-    One row for each source is sorted here, never a document.
+    Sources by code point, null last, get the weights in turn: they are sorted by ranges, and
+    a range's ranks start from the number of sources before it. The level that fills the
+    others rises as sources get full; each turn sums over all sources, and the last one
+    finds none above its bound. So any number of sources is shared out, hosts too.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int")).cast("double"))
-    by = by.withColumn("bound", F.lit(most) * F.col("source_size")).withColumn("ratio", F.col("bound") / F.col("weight"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("bound").over(before), F.lit(0.0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    by = by.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(everything)["level"])
-    return by.select("source", "source_size", F.least("bound", F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight")).alias("target"))
+    order = F.col("source").asc_nulls_last()
+    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    ranged = workspace.write(by.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()), "sources")
+    # one row for each range: no more than there are partitions
+    starts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    rank = F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double")
+    by = ranged.join(F.broadcast(starts), "part").withColumn("rank", rank).withColumn("weight", weight).withColumn("bound", F.lit(float(most)) * F.col("source_size"))
+    by = workspace.write(by.select("source", "source_size", "weight", "bound"), "weighed")
+    level, before = 0.0, None
+    while level != before:
+        full = F.col("bound") < F.lit(level) * F.col("weight")
+        row = by.agg(F.sum("source_size").cast("double"), F.sum(F.when(full, F.col("bound")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        before, level = level, (row[0] - row[1]) / row[2] if row[2] else level
+    return by.select("source", "source_size", F.least("bound", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def uniform(seed: Column | str | int, *columns: str) -> Column:
@@ -39,48 +45,70 @@ def uniform(seed: Column | str | int, *columns: str) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 53)
 
 
-UNIT = "struct<doc_id: bigint, size: bigint, base: bigint, p: double>"
+UNIT = "struct<doc_id: bigint, size: bigint, base: bigint, p: double, v: double>"
+DONE = "struct<doc_id: bigint, size: bigint, copies: bigint>"
 
-#: Folds `units`, an array of (size, doc_id, base, p, u), into (done: decided units with `take`, left: the unit still fractional, or null).
-#: Two fractional units meet, and words move between them until one's p is 0 or 1; the other meets the next. `up` words at most can go to the first,
-#: `down` to the second; the first gains with the chance down / (up + down). So each p keeps its expectation, and the sum of p * size does not change.
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL that computes a value once and uses it by name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def paired(first: str, second: str, u: str, then: str) -> str:
+    """The pivotal step: words move between two fractional units until one's p is 0 or 1; `then` has both as the array `two`.
+
+    `up` words at most can go to the first, `down` to the second; the first gains with the
+    chance down / (up + down). So each p keeps its expectation, and the sum of p * size stays.
+    """
+    moved = lambda unit, sign: f"named_struct('doc_id', {unit}.doc_id, 'size', {unit}.size, 'base', {unit}.base, 'p', {unit}.p {sign} d / {unit}.size, 'v', {unit}.v)"
+    room = f"named_struct('up', least((1 - {first}.p) * {first}.size, {second}.p * {second}.size), 'down', least({first}.p * {first}.size, (1 - {second}.p) * {second}.size))"
+    return let("m", room, let("d", f"if({u} * (m.up + m.down) < m.down, m.up, -m.down)", let("two", f"array({moved(first, '+')}, {moved(second, '-')})", then)))
+
+
+DECIDED = f"transform(filter(two, y -> y.p < {EPS} OR y.p > 1 - {EPS}), y -> named_struct('doc_id', y.doc_id, 'size', y.size, 'copies', y.base + cast(round(y.p) AS bigint)))"
+OPEN = f"get(filter(two, y -> y.p >= {EPS} AND y.p <= 1 - {EPS}), 0)"
+
+#: Folds `units`, an array of (size, doc_id, base, p, u, v), into (done: decided documents with their copies, left: the unit still fractional, or null).
 ROUNDED = f"""
 aggregate(
   units,
-  named_struct('done', cast(array() AS array<struct<doc_id: bigint, size: bigint, base: bigint, take: int>>), 'left', cast(null AS {UNIT})),
+  named_struct('done', cast(array() AS array<{DONE}>), 'left', cast(null AS {UNIT})),
   (s, x) -> if(s.left IS NULL,
-    named_struct('done', s.done, 'left', named_struct('doc_id', x.doc_id, 'size', x.size, 'base', x.base, 'p', x.p)),
-    transform(array(named_struct(
-        'up', least((1 - s.left.p) * s.left.size, x.p * x.size),
-        'down', least(s.left.p * s.left.size, (1 - x.p) * x.size))),
-      m -> transform(array(if(x.u * (m.up + m.down) < m.down, m.up, -m.down)),
-        d -> transform(array(array(
-            named_struct('doc_id', s.left.doc_id, 'size', s.left.size, 'base', s.left.base, 'p', s.left.p + d / s.left.size),
-            named_struct('doc_id', x.doc_id, 'size', x.size, 'base', x.base, 'p', x.p - d / x.size))),
-          two -> named_struct(
-            'done', concat(s.done, transform(filter(two, y -> y.p < {EPS} OR y.p > 1 - {EPS}), y -> named_struct('doc_id', y.doc_id, 'size', y.size, 'base', y.base, 'take', cast(round(y.p) AS int)))),
-            'left', get(filter(two, y -> y.p >= {EPS} AND y.p <= 1 - {EPS}), 0)))[0])[0])[0]))
-"""
-
-
-#: Folds a source's `large` documents, an array of (size, doc_id, u): each is rounded against the pool of all later and smaller documents of the source,
-#: whose common rate takes up what the rounding added or left. Gives (done: documents with `copies`, target and size: of the pool that remains).
-POOLED = """
-aggregate(
-  large,
-  named_struct('target', target, 'size', cast(source_size AS bigint), 'done', cast(array() AS array<struct<doc_id: bigint, size: bigint, copies: bigint>>)),
-  (s, x) -> transform(array(least({most}D, greatest(0D, s.target / s.size))),
-    rate -> transform(array(cast(floor(rate + {eps}) AS bigint) + if(x.u < rate - floor(rate + {eps}), 1L, 0L)),
-      copies -> named_struct(
-        'target', s.target - copies * x.size,
-        'size', s.size - x.size,
-        'done', concat(s.done, array(named_struct('doc_id', x.doc_id, 'size', x.size, 'copies', copies)))))[0])[0])
+    named_struct('done', s.done, 'left', named_struct('doc_id', x.doc_id, 'size', x.size, 'base', x.base, 'p', x.p, 'v', x.v)),
+    {paired("s.left", "x", "x.u", f"named_struct('done', concat(s.done, {DECIDED}), 'left', {OPEN})")}))
 """
 
 
+def settled(s: str) -> str:
+    """The state with its fractional unit rounded by its own chance; the pool, all documents still to come, takes up what that added or left."""
+    after = f"""named_struct(
+      'target', {s}.target + ({s}.left.base + {s}.left.p - c) * {s}.left.size, 'size', {s}.size,
+      'left', cast(null AS {UNIT}), 'done', concat({s}.done, array(named_struct('doc_id', {s}.left.doc_id, 'size', {s}.left.size, 'copies', c))))"""
+    return f"if({s}.left IS NULL, {s}, {let('c', f'{s}.left.base + if({s}.left.v < {s}.left.p, 1L, 0L)', after)})"
+
+
+def large_rounded(most: float) -> str:
+    """SQL that folds a source's `large` documents, from the largest on, into (target, size: of the pool that remains, left: null, done).
+
+    A document comes with the pool's rate. Pairs meet in the pivotal step as long as one is at
+    most twice as long as the other; a fractional unit longer than that has no partner of its
+    kind left and is settled against the pool.
+    """
+    unit = "named_struct('doc_id', x.doc_id, 'size', x.size, 'base', base, 'p', rate - base, 'v', x.v)"
+    state = lambda left, done: f"named_struct('target', f.target - rate * x.size, 'size', f.size - x.size, 'left', {left}, 'done', {done})"
+    none = "array(named_struct('doc_id', x.doc_id, 'size', x.size, 'copies', base))"
+    step = f"""if(rate - base < {EPS}, {state("f.left", f"concat(f.done, {none})")},
+      if(f.left IS NULL, {state(unit, "f.done")},
+        {let("own", unit, paired("f.left", "own", "x.u", state(OPEN, f"concat(f.done, {DECIDED})")))}))"""
+    rate = f"least({float(most)}D, greatest(0D, f.target / f.size))"
+    body = let("f", f"if(s.left.size > 2 * x.size, {settled('s')}, s)", let("rate", rate, let("base", f"cast(floor(rate + {EPS}) AS bigint)", step)))
+    zero = f"named_struct('target', target, 'size', cast(source_size AS bigint), 'left', cast(null AS {UNIT}), 'done', cast(array() AS array<{DONE}>))"
+    return f"aggregate(large, {zero}, (s, x) -> {body}, s -> {settled('s')})"
+
+
 def rounded(units: DataFrame, *by: str) -> DataFrame:
     """Rows (by, r): the units of each group, larger ones first, folded by ROUNDED; so what is left is small."""
-    element = F.struct("size", "doc_id", "base", "p", "u")
+    element = F.struct("size", "doc_id", "base", "p", "u", "v")
     return units.groupBy(*by).agg(F.sort_array(F.collect_list(element), asc=False).alias("units")).select(*by, F.expr(ROUNDED).alias("r"))
 
 
@@ -94,23 +122,25 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null source is a source. Repeated rows are rounded each on its own. An empty table
     gives an empty result. Other columns are ignored.
 
-    First each source's large documents, few by their size, are rounded from the largest on, and
-    the rate of all its others makes up for it. Then blocks of about FAN_IN documents of a source and like sizes, dealt by a hash, are rounded
-    each in one task; each leaves at most one fractional unit. The residuals of FAN_IN blocks
-    meet in the next level of the tree, and at its root those of all size classes of the source.
+    Every document goes through pivotal steps. First each source's large documents meet from
+    the largest on, in pairs of like size; the rate of all shorter ones makes up for a
+    residual that has no partner. Then blocks of about FAN_IN documents of a source and like
+    sizes, dealt by a hash, are rounded each in one task; each leaves at most one fractional
+    unit. The residuals of FAN_IN blocks meet in the next level of the tree, and at its root
+    those of all size classes of the source.
     """
     spark = docs.sparkSession
     workspace = Workspace(spark, "mixing")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"))
     sizes = workspace.write(rows, "sizes")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))
-    targets = workspace.write(source_targets(sizes, most, weights).withColumn("key", key).withColumn("bar", F.greatest(F.least("source_size", "target") / 256, F.col("source_size") / 4096)), "targets")
+    targets = workspace.write(source_targets(sizes, workspace, most, weights).withColumn("key", key).withColumn("bar", F.greatest(F.least("source_size", "target") / 256, F.col("source_size") / 4096)), "targets")
     units = sizes.select("doc_id", key.alias("key"), "size")
 
     # large: 4096 documents of a source at most, since each holds more than that share of its words
-    large = joined_small(units, targets, "key", "doc_id").where("size > bar").withColumn("u", uniform(seed, "doc_id"))
-    large = large.groupBy("key", "target", "source_size").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "u")), asc=False).alias("large"))
-    large = workspace.write(large.select("key", F.expr(POOLED.format(most=float(most), eps=EPS)).alias("r")), "large")
+    large = joined_small(units, targets, "key", "doc_id").where("size > bar").withColumns({"u": uniform(seed, "doc_id"), "v": uniform(seed + 2, "doc_id")})
+    large = large.groupBy("key", "target", "source_size").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "u", "v")), asc=False).alias("large"))
+    large = workspace.write(large.select("key", F.expr(large_rounded(most)).alias("r")), "large")
     pool = targets.join(large.select("key", F.col("r.target").alias("pool_target"), F.col("r.size").alias("pool_size")), "key", "left")
     rate = F.try_divide(F.coalesce("pool_target", "target"), F.coalesce("pool_size", "source_size"))
     rate = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), F.coalesce(rate, F.lit(0.0))))
@@ -123,16 +153,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     levels = ceil(log(most_blocks, FAN_IN) - EPS)
 
     # the number of blocks of a class depends on its count, so rows meet their class's count first
-    open_ = small.where("p > 0 and size > 0").join(counts.select("key", "class", "blocks"), ["key", "class"])
+    open_ = joined_small(small.where("p > 0 and size > 0"), counts.select("key", "class", "blocks"), ["key", "class"], "doc_id")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "blocks"))
-    node = rounded(open_.withColumn("u", uniform(seed + 1, "doc_id")), "key", "class", "block")
+    node = rounded(open_.withColumns({"u": uniform(seed + 1, "doc_id"), "v": uniform(seed + 2, "doc_id")}), "key", "class", "block")
     parts = [large.select("key", F.explode("r.done").alias("x")).select("key", "x.*")]
     for level in range(levels + 2):
         node = workspace.write(node, f"level-{level}")
-        parts.append(node.select("key", F.explode("r.done").alias("x")).select("key", "x.doc_id", "x.size", (F.col("x.base") + F.col("x.take")).alias("copies")))
+        parts.append(node.select("key", F.explode("r.done").alias("x")).select("key", "x.*"))
         residual = node.where("r.left IS NOT NULL").select("key", "class", F.floor(F.col("block") / FAN_IN).alias("block"), "r.left.*")
         if level > levels:
-            parts.append(residual.select("key", "doc_id", "size", (F.col("base") + (uniform(seed + 2, "doc_id") < F.col("p")).cast("int")).alias("copies")))
+            parts.append(residual.select("key", "doc_id", "size", (F.col("base") + (F.col("v") < F.col("p")).cast("int")).alias("copies")))
             break
         residual = residual.withColumn("u", uniform(seed + 3 + level, "doc_id"))
         if level < levels:
