@@ -76,6 +76,9 @@ class Codec:
         else:
             raise ValueError(f"model type {trainer.model_type} is neither unigram nor BPE")
         self.backend = Tokenizer(model)
+        # the backend's own cache, one for each of its threads, would hold units that never come again
+        if hasattr(self.backend.model, "_resize_cache"):
+            self.backend.model._resize_cache(0)
         self.cuts = all(MARK not in p.lstrip(MARK) for p in self.pieces) and trainer.split_by_whitespace
         self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if self.cuts else re.compile(r"(?s).+")
         self.reference = SentencePieceProcessor(model_proto=self.data)
