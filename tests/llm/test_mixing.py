@@ -1,7 +1,9 @@
+import math
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from .helpers import documents, empty
 from kolot.llm import mixing as M
@@ -58,6 +60,116 @@ def test_pairwise_rounding_keeps_the_words(spark):
         assert abs(r["sum(taken)"] - r["first(target)"]) <= 45
 
 
+def pivotal(a, b, u):
+    """(decided, left): as the method is defined. Units are [doc_id, size, base, p, v]."""
+    up, down = min((1 - a[3]) * a[1], b[3] * b[1]), min(a[3] * a[1], (1 - b[3]) * b[1])
+    d = up if u * (up + down) < down else -down
+    two = [[*a[:3], a[3] + d / a[1], a[4]], [*b[:3], b[3] - d / b[1], b[4]]]
+    done = [x for x in two if x[3] < M.EPS or x[3] > 1 - M.EPS]
+    left = [x for x in two if x not in done]
+    return [(x[0], x[2] + round(x[3])) for x in done], left[0] if left else None
+
+
+def in_plain_python(spark, docs, most=3.0):
+    """Copies of every document: large ones of a source in pairs from the largest on, the others by the tree."""
+    wanted = [M.uniform(k, "doc_id").alias(f"u{k}") for k in range(8)]
+    rows = {r["doc_id"]: r for r in docs.select("doc_id", "source", "text", F.xxhash64(F.lit(0), "doc_id").alias("hash"), *wanted).collect()}
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for i, r in rows.items()}
+    sizes, copies = {}, {}
+    for i, r in rows.items():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + size[i]
+    goal, pools, depth = targets(sizes), {}, 0
+    for s, total in sizes.items():
+        bar = max(min(total, goal[s]) / 256, total / 4096)
+        own = [i for i in rows if rows[i]["source"] == s]
+        target, pool, left = goal[s], total, None
+
+        def settle():
+            nonlocal target, left
+            if left:
+                c = left[2] + (left[4] < left[3])
+                copies[left[0]], target, left = c, target + (left[2] + left[3] - c) * left[1], None
+
+        for i in sorted((i for i in own if size[i] > bar), key=lambda i: (size[i], i), reverse=True):
+            if left and left[1] > 2 * size[i]:
+                settle()
+            rate = min(most, max(0.0, target / pool))
+            base = math.floor(rate + M.EPS)
+            target, pool = target - rate * size[i], pool - size[i]
+            unit = [i, size[i], base, rate - base, rows[i]["u2"]]
+            if unit[3] < M.EPS:
+                copies[i] = base
+            elif left is None:
+                left = unit
+            else:
+                done, left = pivotal(left, unit, rows[i]["u0"])
+                copies.update(done)
+        settle()
+        rate = min(most, max(0.0, target / pool)) if pool else 0.0
+        kinds = {}
+        for i in own:
+            if size[i] <= bar:
+                kinds.setdefault(math.floor(math.log2(size[i] + 1) * 8), []).append(i)
+        pools[s] = (rate, kinds)
+        depth = max([depth, *(math.ceil(math.ceil(len(x) / M.FAN_IN) and math.log(math.ceil(len(x) / M.FAN_IN), M.FAN_IN) - M.EPS) for x in kinds.values())])
+
+    def fold(units, u):
+        left = None
+        for x in sorted(units, key=lambda x: (x[1], x[0]), reverse=True):
+            if left is None:
+                left = x
+            else:
+                done, left = pivotal(left, x, rows[x[0]][f"u{u}"])
+                copies.update(done)
+        return left
+
+    for rate, kinds in pools.values():
+        base = math.floor(rate + M.EPS)
+        p, rest = (rate - base if rate - base > M.EPS else 0.0), []
+        for own in kinds.values():
+            blocks, n = {}, math.ceil(len(own) / M.FAN_IN)
+            for i in own:
+                if p and size[i]:
+                    blocks.setdefault(rows[i]["hash"] % n, []).append([i, size[i], base, p, rows[i]["u2"]])
+                else:
+                    copies[i] = base if size[i] else 0
+            level = {b: left for b, units in blocks.items() if (left := fold(units, 1))}
+            for k in range(depth):
+                up = {}
+                for b, x in level.items():
+                    up.setdefault(b // M.FAN_IN, []).append(x)
+                level = {b: left for b, units in up.items() if (left := fold(units, 3 + k))}
+            rest += level.values()
+        if left := fold(rest, 3 + depth):
+            copies[left[0]] = left[2] + (left[4] < left[3])
+    return copies
+
+
+@pytest.mark.parametrize("fan_in", [256, 4])
+def test_copies_equal_the_plain_method(spark, monkeypatch, fan_in):
+    """Every row's copies, large and small documents alike, over a tree of one level and of several."""
+    monkeypatch.setattr(M, "FAN_IN", fan_in)
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * (int(rng.paretovariate(1.0) * 6) % 3000 if i % 9 else 0)), rng.choice("aaaaabbc") if i % 11 else None) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["copies"] for r in M.mix_sources(docs).collect()}
+    want = in_plain_python(spark, docs)
+    assert len(got) == 1500 and got == want
+
+
+def test_many_sources_are_ranked_and_shared(spark):
+    """Ranges of sources, and levels that rise as sources get full, give what the rule says."""
+    sizes = {(f"h{k:04d}" if k else None): (k * 37) % 101 + (5000 if k == 77 else 0) for k in range(400)}
+    rows = [(k, s, n) for k, (s, n) in enumerate(sizes.items())]
+    from kolot.llm.common import Workspace
+
+    got = M.source_targets(spark.createDataFrame(rows, "doc_id long, source string, size long"), Workspace(spark, "test")).collect()
+    want = targets(sizes)
+    assert {r["source"]: r["source_size"] for r in got} == sizes
+    for r in got:
+        assert r["target"] == pytest.approx(want[r["source"]])
+
+
 def test_empty(spark):
     assert M.mix_sources(empty(spark)).count() == 0
 
