@@ -140,7 +140,7 @@ def joined_small(rows: DataFrame, side: DataFrame, key: str | list[str], spread:
 HOT = 5_000
 
 
-def joined_salted(rows: DataFrame, side: DataFrame, key: str, bits: DataFrame, *spread: str, salts: int = 64) -> DataFrame:
+def joined_salted(rows: DataFrame, side: DataFrame, key: str, bits: DataFrame, *spread: str, salts: int = 64, how: str = "inner") -> DataFrame:
     """rows joined with a large side of one row for each key, the rows of hot keys dealt over `salts` tasks by a hash of the columns `spread`.
 
     bits is a `bit_filter` of the hot keys. Both sides look a key up in it, so a false
@@ -149,7 +149,7 @@ def joined_salted(rows: DataFrame, side: DataFrame, key: str, bits: DataFrame, *
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int")
     dealt = tested(rows, key, bits, "_hot").withColumn("_salt", salt).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(tested(side, key, bits, "_hot").withColumn("_salt", F.explode(copies)).drop("_hot"), [key, "_salt"]).drop("_salt")
+    return dealt.join(tested(side, key, bits, "_hot").withColumn("_salt", F.explode(copies)).drop("_hot"), [key, "_salt"], how).drop("_salt")
 
 
 def bit_filter(keys: DataFrame, column: str, bits_log2: int = 22) -> DataFrame:
