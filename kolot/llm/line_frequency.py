@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kolot.llm.common import Workspace, bit_filter, known_id, maybe_in, null_back, text_or_empty, window_hashes, word_hashes
+from kolot.llm.common import HOT, Workspace, bit_filter, joined_salted, known_id, maybe_in, null_back, text_or_empty, window_hashes, word_hashes
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -87,13 +87,17 @@ def _cleaned_texts(docs: DataFrame, id_col: str, text_col: str, host_col: str, l
     rows = docs.select(*_rows(docs, id_col, text_col, host_col))
     fields = ", ".join(f"{c} long" for c in COLUMNS[:-1])
     made = workspace.write(rows.mapInPandas(_measured, f"doc_id long, row long, host string, {fields}, lines array<struct<hash: long, words: long>>"), "measures")
-    one = made.groupBy("host", "content").agg(F.min("doc_id").alias("doc_id"))
+    same = F.xxhash64("host", "content").alias("same")
+    groups = workspace.write(made.groupBy("host", "content").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "contents")
+    hot = workspace.write(bit_filter(groups.where(F.col("n") > HOT).select(same), "same"), "hot")
+    one = groups.drop("n")
     distinct = made.join(one, ["host", "content", "doc_id"], "left_semi").dropDuplicates(["host", "content"])
     lines = distinct.select("host", "content", F.explode("lines.hash").alias("hash")).withColumn("key", F.xxhash64("host", "hash"))
     common = workspace.write(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_docs).select("key"), "common")
     bits = workspace.write(bit_filter(common, "key"), "common-bits")
     removed = maybe_in(lines, "key", bits).join(common, "key", "left_semi").groupBy("host", "content").agg(F.collect_list("hash").alias("hashes"))
-    hits = workspace.write(made.select("doc_id", "row", "host", "content").join(removed, ["host", "content"]).select("doc_id", "row", "hashes").dropDuplicates(["doc_id", "row"]), "hits")
+    # copies of one content are many rows
+    hits = workspace.write(joined_salted(made.select("doc_id", "row", same), removed.select(same, "hashes"), "same", hot, "doc_id", "row").select("doc_id", "row", "hashes").dropDuplicates(["doc_id", "row"]), "hits")
     hit_bits = workspace.write(bit_filter(hits, "row"), "hit-bits")
     # only the texts that lose a line are shuffled and written
     texts = maybe_in(rows, "row", hit_bits).select("doc_id", "row", "text").dropDuplicates(["doc_id", "row"])
