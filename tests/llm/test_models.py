@@ -46,6 +46,38 @@ def test_quality_neighbours_are_exact(spark, tables):
         assert got == pytest.approx(sum(w * model.labels[k] for w, k in zip(weights, near, strict=True)) / sum(weights), abs=1e-3)
 
 
+def test_quality_comes_from_the_words(spark, tables):
+    """Without the word terms the model loses what it knows; the axes are those of a full decomposition."""
+    docs, labels = tables
+    part = fold("doc_id", 5) == 0
+    rows = docs.where(part).join(labels, "doc_id").collect()
+    known = docs.join(labels, "doc_id").where(~part).orderBy("doc_id").collect()
+    right = {}
+    for kept in ("all", "characters"):
+        mask = np.ones(quality_classifier.DIMS, np.float32)
+        mask[: quality_classifier.WORDS] = kept == "all"
+        raw, y = quality_classifier._raw([r["text"] or "" for r in known]) * mask, np.array([r["quality"] for r in known], float)
+        idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(0))) + 1).astype(np.float32)
+        weighted = quality_classifier._weighted(raw, idf)
+        axes = quality_classifier.latent_axes(weighted, 48)
+        exact = np.linalg.svd(weighted, full_matrices=False)[2][:10]
+        assert np.allclose(np.abs((exact @ axes)[:, :10].diagonal()), 1, atol=0.02)
+        model = quality_classifier.Model(idf, axes, np.zeros(0), y)
+        model.vectors = model.project(raw)
+        cosines = model.project(quality_classifier._raw([r["text"] or "" for r in rows]) * mask) @ model.vectors.T
+        near = model.nearest(cosines)
+        weight = np.maximum(np.take_along_axis(cosines, near, 1), 1e-6).astype(float) ** 16
+        low = (weight * y[near]).sum(1) / weight.sum(1) < 0.3
+        bad = np.array([r["quality"] == 0 for r in rows])
+        right[kept] = low[bad].mean()
+    assert right["characters"] < 0.85 < right["all"]
+
+
+def test_quality_ties_go_by_identifier():
+    model = quality_classifier.Model(np.ones(1), np.ones((1, 1)), np.ones((5, 1)), np.arange(5.0), k=2)
+    assert model.nearest(np.array([[0.5, 0.5, 0.9, 0.5, 0.1]])).tolist() == [[0, 2]]
+
+
 def test_toxicity(spark, tables):
     docs, labels = tables
     part = fold("doc_id", 3) == 1
