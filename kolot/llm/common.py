@@ -140,33 +140,37 @@ def joined_small(rows: DataFrame, side: DataFrame, key: str | list[str], spread:
 HOT = 5_000
 
 
-def joined_salted(rows: DataFrame, side: DataFrame, key: str, bits: DataFrame, *spread: str, salts: int = 64, how: str = "inner") -> DataFrame:
+def joined_salted(rows: DataFrame, side: DataFrame, key: str | list[str], bits: DataFrame, *spread: str, salts: int = 64, how: str = "inner") -> DataFrame:
     """rows joined with a large side of one row for each key, the rows of hot keys dealt over `salts` tasks by a hash of the columns `spread`.
 
     bits is a `bit_filter` of the hot keys. Both sides look a key up in it, so a false
     positive is dealt out on both.
     """
+    keys = [key] if isinstance(key, str) else key
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int")
-    dealt = tested(rows, key, bits, "_hot").withColumn("_salt", salt).drop("_hot")
+    dealt = tested(rows, keys, bits, "_hot").withColumn("_salt", salt).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(tested(side, key, bits, "_hot").withColumn("_salt", F.explode(copies)).drop("_hot"), [key, "_salt"], how).drop("_salt")
+    return dealt.join(tested(side, keys, bits, "_hot").withColumn("_salt", F.explode(copies)).drop("_hot"), [*keys, "_salt"], how).drop("_salt")
+
+
+def _slot(column: str | list[str], bits_log2: int) -> Column:
+    return F.xxhash64(*([column] if isinstance(column, str) else column)).bitwiseAND((1 << bits_log2) - 1)
 
 
-def bit_filter(keys: DataFrame, column: str, bits_log2: int = 22) -> DataFrame:
-    """Rows (block, word) of a bitmap over hashes of a column: never more than 2 ** (bits_log2 - 6), whatever the input.
+def bit_filter(keys: DataFrame, column: str | list[str], bits_log2: int = 22) -> DataFrame:
+    """Rows (block, word) of a bitmap over hashes of a column, or several: never more than 2 ** (bits_log2 - 6), whatever the input.
 
     A test against it has false positives, no false negatives. Past its capacity it lets all
     rows pass, so it only ever saves work.
     """
-    slot = F.xxhash64(column).bitwiseAND((1 << bits_log2) - 1)
+    slot = _slot(column, bits_log2)
     return keys.select(F.shiftright(slot, 6).cast("int").alias("_block"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("_bit")).groupBy("_block").agg(F.bit_or("_bit").alias("_word"))
 
 
-def tested(df: DataFrame, column: str, bits: DataFrame, name: str, bits_log2: int = 22) -> DataFrame:
+def tested(df: DataFrame, column: str | list[str], bits: DataFrame, name: str, bits_log2: int = 22) -> DataFrame:
     """df with a boolean column: whether a column's value may be among the keys of a `bit_filter`, which is broadcast: its size is bounded."""
-    slot = F.xxhash64(column).bitwiseAND((1 << bits_log2) - 1)
     hit = F.expr("coalesce(shiftright(_word, cast(_slot & 63 as int)) & 1, 0)") == 1
-    return df.withColumn("_slot", slot).withColumn("_block", F.shiftright("_slot", 6).cast("int")).join(F.broadcast(bits), "_block", "left").withColumn(name, hit).drop("_slot", "_block", "_word")
+    return df.withColumn("_slot", _slot(column, bits_log2)).withColumn("_block", F.shiftright("_slot", 6).cast("int")).join(F.broadcast(bits), "_block", "left").withColumn(name, hit).drop("_slot", "_block", "_word")
 
 
 def maybe_in(df: DataFrame, column: str, bits: DataFrame, bits_log2: int = 22) -> DataFrame:

@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolot.llm.common import Workspace, bit_filter, known_id, maybe_in, mixed, null_back, text_or_empty, window_hashes, word_hashes
+from kolot.llm.common import HOT, Workspace, bit_filter, joined_salted, known_id, maybe_in, mixed, null_back, text_or_empty, window_hashes, word_hashes
 
 #: Multipliers and offsets of the permutations h -> a * h + b mod 2**64, a odd.
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 A = np.random.default_rng(20240229).integers(0, 1 << 64, PERMUTATIONS, np.uint64) | np.uint64(1)
 B = np.random.default_rng(20240301).integers(0, 1 << 64, PERMUTATIONS, np.uint64)
 #: Members of a bucket that are compared with others at once.
-CHUNK = 512
+CHUNK = 256
 
 
 def shingles(text: str, size: int = 5) -> np.ndarray:
@@ -86,12 +86,14 @@ def _confirmer(size: int, percent: int):
 
 
 def confirmed(workspace: Workspace, pairs: DataFrame, docs: DataFrame, name: str, size: int = 5, percent: int = 75) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough. Only the texts of candidates are shuffled."""
+    """Those pairs (a, b) whose full sets are similar enough. Only the texts of candidates are shuffled, and the pairs of a document with many partners are dealt over several tasks."""
     pairs = workspace.write(pairs, f"{name}-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     bits = workspace.write(bit_filter(ids, "doc_id"), f"{name}-bits")
     texts = maybe_in(docs, "doc_id", bits).select("doc_id", "text")
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    hot = workspace.write(bit_filter(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), "a"), f"{name}-hot")
+    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    joined = joined_salted(joined, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a", hot, "b")
     return workspace.write(joined.select("a", "b", "text_a", "text_b").mapInPandas(_confirmer(size, percent), "a long, b long"), f"{name}-links")
 
 
@@ -99,15 +101,17 @@ def components(workspace: Workspace, links: DataFrame, name: str, most_rounds: i
     """Rows (node, component) for all nodes of the links; component is the smallest node reachable.
 
     Alternating large and small stars: each node points its neighbours at the least of them.
-    Links with a hub are joined with one row for each node, so a hub is no hot group.
+    A node's least neighbour is aggregated before its shuffle, and a hub's links are dealt over
+    several tasks where they meet it.
     """
     edges = workspace.write(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), f"{name}-0")
     state = None
     for turn in range(1, most_rounds):
         # large star: all larger neighbours of a node move to its least neighbour
         both = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(edges.select(F.col("u").alias("x"), F.col("v").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u < v").distinct()
+        least = workspace.write(both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).select("x", F.least("x", "m").alias("m"), "n"), f"{name}-{turn}-least")
+        hubs = bit_filter(least.where(F.col("n") > HOT), "x")
+        large = joined_salted(both.where("y > x"), least.drop("n"), "x", hubs, "y").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u < v").distinct()
         # small star: all smaller neighbours of a node, and itself, move to its least neighbour
         floor = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(floor, "v").select(F.explode(F.array("u", "v")).alias("v"), F.col("m").alias("u")).where("u < v").distinct()
@@ -135,7 +139,8 @@ def _cross(percent: int):
     A pair is looked at in its first common band only. Sizes and signatures rule most pairs
     out: the signature's standard error at 75 % is under 4 points for 128 values, and a pair
     must come within 17 points of the limit, over four standard errors. The others are
-    confirmed on full sets.
+    confirmed on full sets. A link unites two components, whose members then need no further
+    look in this task: so links are fewer than components, not as many as pairs.
     """
     empty = pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
@@ -148,25 +153,30 @@ def _cross(percent: int):
         x, y = (np.frombuffer(b"".join(d["sketch"]), np.uint16).reshape(len(d), -1) for d in (left, right))
         keys, others = (np.stack(d["keys"].to_list()) for d in (left, right))
         n, m = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
-        mine, theirs = left["component"].to_numpy(), right["component"].to_numpy()
+        mine, theirs = left["component"].to_numpy().copy(), right["component"].to_numpy().copy()
         ids, other_ids = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in right["set"]]
+        same = rows["i"].iloc[0] == rows["j"].iloc[0]
         a, b = [], []
         for k in range(len(left)):
             at = np.nonzero((mine[k] != theirs) & (100 * np.minimum(n[k], m) >= percent * np.maximum(n[k], m)))[0]
             at = at[(x[k] == y[at]).mean(1) >= percent / 100 - 0.17]
             at = at[(keys[k] == others[at]).argmax(1) == band]
-            if rows["i"].iloc[0] == rows["j"].iloc[0]:
+            if same:
                 at = at[other_ids[at] > ids[k]]
             if not len(at):
                 continue
             own = np.frombuffer(left["set"].iloc[k], np.uint64)
-            all_ = np.concatenate([sets[j] for j in at])
-            hit = own[np.minimum(np.searchsorted(own, all_), len(own) - 1)] == all_
-            both = np.add.reduceat(hit, np.cumsum([0, *m[at][:-1]]), dtype=np.int64)
-            for j in at[100 * both >= percent * (n[k] + m[at] - both)]:
-                a.append(min(ids[k], other_ids[j]))
-                b.append(max(ids[k], other_ids[j]))
+            for j in at:
+                if mine[k] == theirs[j]:
+                    continue
+                both = int((own[np.minimum(np.searchsorted(own, sets[j]), len(own) - 1)] == sets[j]).sum())
+                if 100 * both >= percent * (n[k] + m[j] - both):
+                    a.append(min(ids[k], other_ids[j]))
+                    b.append(max(ids[k], other_ids[j]))
+                    one, two = mine[k], theirs[j]
+                    for side in (mine, theirs):
+                        side[side == two] = one
         return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     return run
@@ -197,13 +207,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(known_id(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     made = workspace.write(signatures(docs, size), "signatures")
     filled = made.where("n_shingles > 0")
-    classes = filled.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = workspace.write(filled.select("doc_id", "high", "low", "n_shingles").join(classes, ["high", "low", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "members")
+    own_set = ["high", "low", "n_shingles"]
+    classes = workspace.write(filled.groupBy(*own_set).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    hot = workspace.write(bit_filter(classes.where(F.col("n") > HOT), own_set), "classes-hot")
+    member = workspace.write(joined_salted(filled.select("doc_id", *own_set), classes.drop("n"), own_set, hot, "doc_id").select("doc_id", "n_shingles", "rep"), "members")
     # repeated rows have one representative row
     reps = member.where("doc_id = rep").select(F.col("rep").alias("doc_id")).distinct()
     bands = filled.join(reps, "doc_id", "left_semi").select("doc_id", F.posexplode("keys").alias("band", "key"))
-    sizes = bands.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"))
-    shared = workspace.write(bands.join(sizes.where("least < greatest"), "key").select("key", "band", "doc_id", "least").distinct(), "buckets")
+    sizes = workspace.write(bands.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.count(F.lit(1)).alias("n")).where("least < greatest"), "sizes")
+    hot = workspace.write(bit_filter(sizes.where(F.col("n") > HOT), "key"), "sizes-hot")
+    shared = workspace.write(joined_salted(bands, sizes.drop("greatest", "n"), "key", hot, "doc_id").select("key", "band", "doc_id", "least").distinct(), "buckets")
     stars = shared.where("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = confirmed(workspace, stars, docs, "stars", size, percent)
     first = workspace.write(components(workspace, links, "first"), "first")
@@ -212,7 +225,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mark = F.xxhash64("doc_id")
     mixed_up = placed.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("y"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 and low < high")
     looked_at = mixed_up.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("first")).select("first.key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    rest = workspace.write(placed.join(looked_at, "key").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int")), "rest")
+    rest = workspace.write(joined_salted(placed, looked_at, "key", hot, "doc_id").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int")), "rest")
     final = first
     if not rest.isEmpty():
         ids = rest.select("doc_id").distinct()

@@ -75,3 +75,27 @@ def test_components_of_a_path(spark):
     links = spark.range(200).selectExpr("id + 1 AS a", "id AS b")
     got = N.components(Workspace(spark, "test"), links, "path").collect()
     assert len(got) == 201 and {r["component"] for r in got} == {0}
+
+
+def test_hot_keys_and_chunks(spark, monkeypatch):
+    """With everything dealt out and chunks of 4, the groups are those of brute force, and a task's links are fewer than its components."""
+    from kolot.llm import common
+
+    monkeypatch.setattr(N, "HOT", 2)
+    monkeypatch.setattr(N, "CHUNK", 4)
+    rng = random.Random(4)
+    base = [f"b{rng.randrange(400)}" for _ in range(60)]
+    texts = [mutated(rng, base, m) for m in (0, 0, 1, 2, 3, 4) for _ in range(6)] + [" ".join(base)] * 9
+    docs = documents(spark, texts)
+    assert {tuple(r) for r in N.near_groups(docs).collect()} == brute(docs.collect())
+    assert common.HOT == 5_000
+
+
+def test_one_link_for_each_pair_of_components():
+    rows, s = [], N.shingles(" ".join(f"w{k}" for k in range(50)))
+    signature = N.min_max(s)
+    for k in range(12):
+        rows.append({"key": 1, "band": 0, "chunk": 0, "i": 0, "j": 0, "doc_id": k, "component": k % 3, "n_shingles": len(s), "keys": N.band_keys(signature), "sketch": (signature >> np.uint64(48)).astype(np.uint16).tobytes(), "set": s.tobytes()})
+    import pandas as pd
+
+    assert len(N._cross(75)(pd.DataFrame(rows))) == 2
