@@ -61,8 +61,12 @@ def ordinal(n: str, g: str, definite: bool) -> str:
     return f"{q(L.THE if definite else '')} || CASE WHEN {n} BETWEEN 1 AND 10 THEN {words(L.ORDINALS[g])}[({n})::INT] ELSE {cardinal(n, g, most=10**6)} END"
 
 
+def day_month(day: str, month: str) -> str:
+    return f"CASE WHEN {day} = 1 THEN '{L.THE}{L.ORDINALS['m'][0]}' ELSE {cardinal(day, 'm', most=31)} END || ' ב' || {words(L.MONTHS)}[({month})::INT]"
+
+
 def date(day: str, month: str, year: str) -> str:
-    return f"CASE WHEN {day} = 1 THEN '{L.THE}{L.ORDINALS['m'][0]}' ELSE {cardinal(day, 'm', most=31)} END || ' ב' || {words(L.MONTHS)}[({month})::INT] || ' ' || {cardinal(year, most=9999)}"
+    return f"{day_month(day, month)} || ' ' || {cardinal(year, most=9999)}"
 
 
 def gender(word: str) -> str:
@@ -86,11 +90,15 @@ def minute(n: str) -> str:
     return f"CASE WHEN {n} < 10 THEN '{L.ONES['f'][0]} ' || {words(L.ONES['f'])}[({n} + 1)::INT] ELSE {cardinal(n, most=59)} END"
 
 
+def on_face(h: str, m: str) -> str:
+    """An hour and minute as a clock's face shows them, without the part of the day."""
+    hour = lambda x: cardinal(f"(({x} + 11) % 12 + 1)", most=12)
+    return f"CASE {m} WHEN 0 THEN {hour(h)} WHEN 15 THEN {hour(h)} || ' ורבע' WHEN 30 THEN {hour(h)} || ' וחצי' WHEN 45 THEN 'רבע ל' || {hour(f'({h} + 1)')} ELSE {hour(h)} || ' ו' || {cardinal(m, most=59)} END"
+
+
 def time12(h: str, m: str) -> str:
-    face = lambda x: cardinal(f"(({x} + 11) % 12 + 1)", most=12)
     part = f"CASE WHEN {h} = 12 THEN '{L.NOON}' WHEN {h} BETWEEN 5 AND 11 THEN '{L.MORNING}' WHEN {h} BETWEEN 13 AND 16 THEN '{L.AFTERNOON}' WHEN {h} BETWEEN 17 AND 20 THEN '{L.EVENING}' ELSE '{L.NIGHT}' END"
-    said = f"CASE {m} WHEN 0 THEN {face(h)} WHEN 15 THEN {face(h)} || ' ורבע' WHEN 30 THEN {face(h)} || ' וחצי' WHEN 45 THEN 'רבע ל' || {face(f'({h} + 1)')} ELSE {face(h)} || ' ו' || {cardinal(m, most=59)} END"
-    return f"CASE WHEN {h} = 0 AND {m} = 0 THEN '{L.MIDNIGHT}' ELSE {said} || ' ' || {part} END"
+    return f"CASE WHEN {h} = 0 AND {m} = 0 THEN '{L.MIDNIGHT}' ELSE {on_face(h, m)} || ' ' || {part} END"
 
 
 def money(code: str) -> str:

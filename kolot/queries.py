@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +12,9 @@ from kolot.functions import numerals as N
 from kolot.functions import text as T
 from kolot.functions import verbalise as V
 from kolot.operators import normalize as Z
+from kolot import readings  # noqa: F401  registers its queries
 from kolot.plans import mining, quality
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from kolot.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: Numbers that the tables don't hold.
 LITERALS = [0, 1, 2, 10, 11, 100, 1000, 2000, 3000, 11000, 10**6, 2 * 10**6, 10**6 + 1, 10**9, 2 * 10**9, 123_456_789_012, -1, -25]
@@ -27,20 +24,6 @@ LETTERS = ["א", "ט״ו", "ל״ג", "כ״ז", "תשפ״ו", "ך"]
 LATIN = mining.Limits(letters="A-Za-zÀ-ɏ", least_chars=14, most_chars=400, other_letters=None, categories=(("address", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"), ("percent", r"\d\s*%"), ("decimal", r"\d+\.\d+"), ("integer", r"\d"), ("comma", ","), ("plain", ".")))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(oracle: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return keep
-
-
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n")).unionAll(spark.createDataFrame([(n,) for n in LITERALS], "n long"))
 
