@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kolot.llm import exact_dedup, mixing, near_dedup, pieces, toxicity
-from kolot.llm.common import Workspace, known_id, table, text_or_empty
+from kolot.llm.common import HOT, Workspace, bit_filter, joined_salted, known_id, scratch, table, tested
 
 #: Documents that score this or more are rejected.
 TOXIC = 0.7
@@ -30,22 +30,30 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays, the longest as written; null, empty and blank texts are equal."""
-    keep = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
-    text = text_or_empty("row.text")
-    rows = keyed(docs, *docs.columns).withColumn("sha", exact_dedup.sha256(F.regexp_replace(text, exact_dedup.SPACE, "")))
-    rows = rows.join(keep, (rows["sha"] == keep["sha"]) & rows["row.doc_id"].eqNullSafe(keep["id"]), "left_semi")
-    # rows that share the identifier too: the longest, then by hash
-    return rows.groupBy("sha").agg(F.max_by("row", F.struct(F.char_length(text), "key")).alias("row")).select("row.*")
+    """Of equal texts one document stays, the longest as written, then that with the smallest identifier, null last; null, empty and blank texts are equal. Only rows that have a copy are shuffled."""
+    workspace = Workspace(spark, "drop-copies")
+    rows = keyed(docs, *docs.columns)
+    own = F.struct(F.col("row.doc_id").isNull().alias("unknown"), F.col("row.doc_id").alias("doc_id"), "key")
+    found = exact_dedup.exact_dedup(rows.select(own.alias("id"), "row.text"), id_col="id")
+    found = workspace.write(found.where("group_size > 1").select("doc_id.key", "kept").distinct(), "copies")
+    rows = tested(rows, "key", workspace.write(bit_filter(found, "key"), "bits"), "copied")
+    once = rows.where("copied").join(found, "key", "left").where("coalesce(kept, true)").dropDuplicates(["key"])  # equal rows have one key
+    return rows.where("NOT copied").select("row.*").unionByName(once.select("row.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest identifier stays, null first."""
+    """Of each group of near-duplicates the document with the smallest identifier stays, null first. Only rows of groups are shuffled."""
+    workspace = Workspace(spark, "drop-near-copies")
     rows = keyed(docs, "doc_id", "text")
     groups = near_dedup.near_groups(rows.select("key", "row.text"), id_col="key").select(F.col("doc_id").alias("key"), "component_id").distinct()
     ids = rows.select("key", known_id("row.doc_id").alias("id")).distinct()
-    keep = groups.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least")).select("least.key")
-    return rows.join(keep, "key", "left_semi").select("row.*")
+    groups = workspace.write(groups.join(ids, "key"), "groups")
+    least = groups.groupBy("component_id").agg(F.min(F.struct("id", "key"))["key"].alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # the members of a group are rows of three numbers, and a hot group's are dealt out
+    hot = workspace.write(bit_filter(least.where(F.col("n") > HOT), "component_id"), "hot")
+    others = workspace.write(joined_salted(groups, least, "component_id", hot, "key").where("key <> least").select("key"), "others")
+    rows = tested(rows, "key", workspace.write(bit_filter(others, "key"), "bits"), "grouped")
+    return rows.where("NOT grouped").select("row.*").unionByName(rows.where("grouped").join(others, "key", "left_anti").select("row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,11 +75,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written before the next reads it."""
+    """All stages over documents; each stage's result is written before the next reads it, and what its operators wrote on the way is removed. An empty table gives an empty result."""
     workspace = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = workspace.write(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch():
+            docs = workspace.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

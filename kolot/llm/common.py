@@ -36,6 +36,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """What runs inside hands Python workers at most so many rows at once: a bound on the memory of whole texts there and in the JVM."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 _open: list[Workspace] = []
 
 
@@ -64,7 +76,8 @@ class Workspace:
 
     def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.options(**options).parquet(path)
+        with arrow_rows(self.spark, 1000):
+            df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:

@@ -20,7 +20,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct units whose ids a worker keeps.
-MOST_CACHED = 250_000
+MOST_CACHED = 150_000
 #: Units that both libraries encode as one text.
 GROUP = 16
 
@@ -211,7 +211,7 @@ def codec(data: bytes, verify: bool = True) -> Codec:
     return Codec(data, verify)
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = 512, verify: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = 256, verify: bool = True) -> DataFrame:
     """For each row: doc_id, n_ids, n_unknown, ids, round_trip.
 
     round_trip tells whether the decoded ids give the normalised text again, which they do

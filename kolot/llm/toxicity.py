@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,9 +127,9 @@ def score(text: Column, model: Model, spark) -> Column:
     """0 to 1, higher where label 1 is likelier. Null, empty and blank texts have no terms and get the bias alone."""
     held = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([held.value.score(t) for t in texts.fillna("")], dtype="float64")
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([held.value.score(t.as_py() or "") for t in batch], pa.float64())
 
     return scored(text)
