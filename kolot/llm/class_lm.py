@@ -2,47 +2,98 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kolot.llm.common import Workspace, known_id, null_back, text_or_empty
+from kolot.llm.common import Workspace, text_or_empty, word_hashes
 
-#: Words clustered one by one; words whose counts are broadcast; classes of clustered words.
-CLUSTERED, HEAD, CLASSES = 1500, 100_000, 64
+#: Words clustered by exchange; words whose counts and classes are broadcast; classes.
+CLUSTERED, HEAD, CLASSES = 1500, 500_000, 64
 #: Weight of the class model against the smoothed unigram.
 WEIGHT = 0.9
-#: Distinct words that a task sums up before it hands them on.
-MOST_HELD = 500_000
+#: Tokens that a task sums up before it hands them on, and texts that it looks at together.
+MOST_HELD, SLICE = 3_000_000, 256
+#: Stands for the end of a text among the hashes of words.
+END = np.uint64(0)
+#: A context's code and how often it occurs are packed in one integer.
+COUNT_BITS = 23
 
 
 def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: Counter[bytes] = Counter()
+def flow(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the texts' words, one text after another, END closing each; and the places of those ends."""
+    words = [tokens(t) for t in texts]
+    hashes = word_hashes(list(chain.from_iterable(words)))
+    hashes[hashes == END] = 1
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return np.insert(hashes, ends, END), ends + np.arange(len(words))
 
-    def rows() -> pd.DataFrame:
-        return pd.DataFrame({"word": list(held), "n": np.fromiter(held.values(), np.int64, len(held))})
 
+def _flows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for text in batch["text"]:
-            held.update(tokens(text))
-            if len(held) > MOST_HELD:
-                yield rows()
-                held.clear()
-    yield rows()
+        for at in range(0, len(batch), SLICE):
+            part = batch.slice(at, SLICE)
+            yield part, *flow(part["text"].to_pylist())
+
+
+@dataclass
+class Words:
+    """Hashes of words in order, with the class and count of each."""
+
+    hashes: np.ndarray
+    kinds: np.ndarray
+    counts: np.ndarray
+    end: int  # the class of ends; end + 1 is that of all other words
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, kinds: np.ndarray, counts: np.ndarray, end: int) -> Words:
+        order = np.argsort(hashes)
+        return cls(hashes[order], kinds[order].astype(np.int16), counts[order].astype(np.int64), end)
+
+    def find(self, flow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each token, and its count; 0 for ends and other words."""
+        at = np.minimum(np.searchsorted(self.hashes, flow), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == flow if len(self.hashes) else np.zeros(len(flow), bool)
+        kinds = np.full(len(flow), self.end + 1, np.int64)
+        counts = np.zeros(len(flow), np.int64)
+        kinds[known], counts[known] = self.kinds[at[known]], self.counts[at[known]]
+        kinds[flow == END] = self.end
+        return kinds, counts
+
+
+def before(kinds: np.ndarray, end: int) -> np.ndarray:
+    """The class before each token; the first of a slice stands after an end."""
+    return np.concatenate([[end], kinds[:-1]])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
+
+    def rows() -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["hash", "n"])
+
+    for _, line, ends in _flows(batches):
+        held.append(np.delete(line, ends))
+        if sum(map(len, held)) > MOST_HELD:
+            yield rows()
+            held = []
+    if held:
+        yield rows()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word as UTF-8, n) over all texts, without ends."""
-    return docs.select("text").mapInPandas(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """(hash, n) of all words of all texts, without ends."""
+    return docs.select("text").mapInArrow(_counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def least_count(counts: DataFrame, most: int) -> int:
@@ -57,21 +108,17 @@ def least_count(counts: DataFrame, most: int) -> int:
     return 1
 
 
-def _pairs(ids: dict[bytes, int], end: int):
-    """Counts of (previous, next) among clustered words, END and OTHER; a text starts after END."""
+def _pairs(ranks: Words):
+    """Counts of (previous, next) among clustered words by rank, END and OTHER; a text starts after END."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((end + 2) ** 2, np.int64)
-        get, other = ids.get, end + 1
-        for batch in batches:
-            line = [end]
-            for text in batch["text"]:
-                line += [get(w, other) for w in tokens(text)]
-                line.append(end)
-            a = np.array(line)
-            sums += np.bincount(a[:-1] * (end + 2) + a[1:], minlength=len(sums))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = ranks.end + 2
+        sums = np.zeros(size**2, np.int64)
+        for _, line, _ in _flows(batches):
+            ids, _ = ranks.find(line)
+            sums += np.bincount(before(ids, ranks.end) * size + ids, minlength=len(sums))
         at = np.nonzero(sums)[0]
-        yield pd.DataFrame({"pair": at, "n": sums[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["pair", "n"])
 
     return run
 
@@ -129,102 +176,244 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 4) -> np.ndarray:
     return at
 
 
+def _contexts(first: Words):
+    """(hash, codes) of words that exchange has not clustered: the classes before and after them, each with its number, packed."""
+    kinds_ = first.end + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            words, left, right = map(np.concatenate, zip(*held, strict=True))
+            words, which = np.unique(words, return_inverse=True)
+            which = which * (2 * kinds_)
+            pairs, n = np.unique(np.concatenate([which + left, which + kinds_ + right]), return_counts=True)
+            offsets = np.searchsorted(pairs, np.arange(len(words) + 1) * (2 * kinds_))
+            codes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((pairs % (2 * kinds_) << COUNT_BITS | n).astype(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), codes], ["hash", "codes"])
+
+        for _, line, _ in _flows(batches):
+            kinds, _ = first.find(line)
+            other = np.nonzero(kinds == first.end + 1)[0]
+            if len(other):
+                held.append((line[other], before(kinds, first.end)[other], kinds[other + 1]))  # an end follows the last word
+            if sum(len(h[0]) for h in held) > MOST_HELD:
+                yield rows()
+                held = []
+        if held:
+            yield rows()
+
+    return run
+
+
+def class_weights(joint: np.ndarray) -> np.ndarray:
+    """What one more neighbour of each class, before (first half) and after a word, says for each class of the word: log P(class | before) - log of the class's tokens, and log P(after | class)."""
+    k = len(joint) - 2
+    share = (joint.sum(0) + 1) / (joint.sum() + len(joint))
+    chances = (joint + 5 * share) / (joint.sum(1, keepdims=True) + 5)
+    return np.concatenate([np.log(chances[:, :k]) - np.log(joint.sum(0)[:k] + 1), np.log(chances[:k]).T])
+
+
+def _classified(weights: np.ndarray):
+    """(hash, kind, n) from rows (hash, codes) in order of the hash: a word's rows are summed as they pass, however many there are."""
+    half = len(weights) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+
+        def rows(hashes, votes, n) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(votes.argmax(1), pa.int32()), pa.array(n, pa.int64())], ["hash", "kind", "n"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            hashes, flat = batch["hash"].to_numpy(), batch["codes"].flatten().to_numpy()
+            offsets = np.concatenate([[0], np.cumsum(batch["codes"].value_lengths().to_numpy())])
+            starts = np.nonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))[0]
+            code, n = flat >> COUNT_BITS, flat & ((1 << COUNT_BITS) - 1)
+            votes = np.add.reduceat(weights[code] * n[:, None], offsets[starts], axis=0)
+            counts = np.add.reduceat(np.where(code < half, n, 0).astype(np.int64), offsets[starts])
+            hashes = hashes[starts]
+            if last and last[0][0] == hashes[0]:
+                votes[0] += last[1][0]
+                counts[0] += last[2][0]
+            elif last:
+                yield rows(*last)
+            yield rows(hashes[:-1], votes[:-1], counts[:-1])
+            last = hashes[-1:], votes[-1:], counts[-1:]
+        if last:
+            yield rows(*last)
+
+    return run
+
+
+def _moves(words: Words):
+    """(hash, before, kind, n): how often each class follows each; of words outside the head (kind null) how often they follow each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = words.end + 2
+        sums = np.zeros(size * size, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def tail() -> pa.RecordBatch:
+            rare, left = map(np.concatenate, zip(*held, strict=True))
+            rare, which = np.unique(rare, return_inverse=True)
+            pairs, n = np.unique(which * size + left, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(rare[pairs // size].view(np.int64)), pa.array((pairs % size).astype(np.int32)), pa.nulls(len(pairs), pa.int32()), pa.array(n)], ["hash", "before", "kind", "n"])
+
+        for _, line, _ in _flows(batches):
+            kinds, _ = words.find(line)
+            left = before(kinds, words.end)
+            other = kinds > words.end
+            sums += np.bincount((left * size + kinds)[~other], minlength=len(sums))
+            if other.any():
+                held.append((line[other], left[other]))
+            if sum(len(h[0]) for h in held) > MOST_HELD:
+                yield tail()
+                held = []
+        if held:
+            yield tail()
+        at = np.nonzero(sums)[0]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(sums[at])], ["hash", "before", "kind", "n"])
+
+    return run
+
+
 @dataclass
 class Model:
-    """Broadcast parts: no more than HEAD words with counts, and class tables of (CLASSES + 2) squared."""
+    """Broadcast parts: no more than HEAD words with classes and counts, and a class table of CLASSES + 2 by CLASSES + 1."""
 
-    counts: dict[bytes, int]
-    classes: dict[bytes, int]
-    end: int
-    chances: np.ndarray  # of the next class, after each class
-    totals: np.ndarray  # tokens in each class
+    words: Words  # the head
+    chances: np.ndarray  # of the next class, after each class, ends, and words outside the head
+    totals: np.ndarray  # tokens of each class, and ends
     n: int  # training tokens with ends
-    ends: int
     distinct: int  # distinct training tokens with the end
-    clustered: int
-
-    def parts(self, text: str) -> tuple[int, int, float, float, list[dict]]:
-        """n_tokens, known tokens of the head, base and score without the counts of other words, and those words with their numbers.
-
-        A word outside the head enters both probabilities by the factor (its count + 1), which
-        is joined later. Inside a class P(w | class) = count / total; in OTHER (count + 1) /
-        (total + words + 1), the 1 being for words never seen.
-        """
-        words = tokens(text)
-        n, other = len(words), self.end + 1
-        where = np.fromiter((self.classes.get(w, other) for w in words), np.int64, n)
-        count = np.fromiter((self.counts.get(w, -1) for w in words), np.int64, n)
-        where, count = np.append(where, self.end), np.append(count, self.ends)
-        before = np.concatenate([[self.end], where[:-1]])
-        missing = count < 0
-        plus = np.where(missing, 1, count + 1)
-        uniform = self.n + self.distinct + 1
-        inside = np.where(where == other, plus / (self.totals[other] + max(self.distinct - self.clustered - 1, 0) + 1), np.maximum(count, 0) / np.maximum(self.totals[where], 1))
-        chance = WEIGHT * self.chances[before, where] * inside + (1 - WEIGHT) * plus / uniform
-        tail = Counter(w for w, m in zip(words, missing[:-1], strict=True) if m)
-        return n + 1, int((count > 0).sum()), float(np.log10(plus / uniform).sum()), float(np.log10(chance).sum()), [{"word": w, "times": k} for w, k in tail.items()]
-
-
-def class_model(counts: DataFrame, docs: DataFrame, ends: int, clustered: int = CLUSTERED, head: int = HEAD, classes: int = CLASSES) -> Model:
-    """Learns classes from all texts of docs, given their word counts; ends is the number of texts."""
-    totals = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    once: int  # words that occur once
+
+    @property
+    def uniform(self) -> int:
+        return self.n + self.distinct + 1
+
+    @property
+    def weight(self) -> float:
+        return WEIGHT if self.n else 0.0
+
+    @property
+    def unseen(self) -> float:
+        """The share of the class model that words never seen get: that of words seen once."""
+        return (self.once + 0.5) / (self.n + 1)
+
+    def chance(self, left: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of tokens that occur in training, with their counts, after each class."""
+        inside = counts / np.maximum(self.totals[kinds], 1)
+        return self.weight * (1 - self.unseen) * self.chances[left, kinds] * inside + (1 - self.weight) * (counts + 1) / self.uniform
+
+    def never(self) -> float:
+        """Of a word that does not occur in training."""
+        return self.weight * self.unseen + (1 - self.weight) / self.uniform
+
+
+def class_model(docs: DataFrame, workspace: Workspace, clustered: int = CLUSTERED, head: int = HEAD, classes: int = CLASSES) -> tuple[Model, DataFrame]:
+    """Learns from all texts of docs; the model and the table (hash, kind, n) of every word that is not clustered by exchange.
+
+    The `clustered` most frequent words are put into classes by exchange. Every other word
+    joins the class for which its neighbours, before and after, speak most. What class
+    follows which is then counted over all texts. As a context, a word outside the `head` most
+    frequent ones is one of a class of their own.
+    """
+    docs = docs.select("text")
+    counts = workspace.write(word_counts(docs), "counts")
+    ends = docs.count()
+    totals = counts.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1)).first()
     n, distinct = (totals[0] or 0) + ends, totals[1] + (ends > 0)
-    top = counts.where(F.col("n") >= least_count(counts, head)).toPandas()
-    held = dict(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))
-    del top
-    first = sorted(held, key=lambda w: (-held[w], w))[:clustered]
-    ids = {w: i for i, w in enumerate(first)}
-    end = len(first)
-    sums = docs.select("text").mapInPandas(_pairs(ids, end), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    top = counts.orderBy(F.desc("n"), "hash").limit(clustered).toPandas()
+    hashes, frequent = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    end = len(top)
+    ranks = Words.of(hashes, np.arange(end), frequent, end)
+    sums = docs.mapInArrow(_pairs(ranks), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     pairs = np.zeros((end + 2) ** 2)
     pairs[sums["pair"].to_numpy(np.int64)] = sums["n"]
     del sums
     pairs = pairs.reshape(end + 2, end + 2)
     at = exchange(pairs, classes)
-    k = at[-1] + 1
-    one = np.zeros((end + 2, k))
+    k = int(at[-1]) - 1
+    one = np.zeros((end + 2, k + 2))
     one[np.arange(end + 2), at] = 1
     joint = one.T @ pairs @ one
+    del pairs
+    first = Words.of(hashes, at[:end], frequent, k)
+    contexts = docs.mapInArrow(_contexts(first), "hash long, codes array<int>").repartition("hash").sortWithinPartitions("hash")
+    others = workspace.write(contexts.mapInArrow(_classified(class_weights(joint)), "hash long, kind int, n long"), "classes")
+    more = others.where(F.col("n") >= least_count(others, max(head - end, 0))).toPandas() if end else top.assign(kind=0)
+    words = Words.of(np.concatenate([hashes, more["hash"].to_numpy(np.int64).view(np.uint64)]), np.concatenate([at[:end], more["kind"].to_numpy(np.int64)]), np.concatenate([frequent, more["n"].to_numpy(np.int64)]), k)
+    del more
+    moves = workspace.write(docs.mapInArrow(_moves(words), "hash long, before int, kind int, n long"), "moves")
+    known = moves.where("hash IS NULL").select("before", "kind", "n")
+    rare = moves.where("hash IS NOT NULL").drop("kind").join(others.select("hash", "kind"), "hash").select("before", "kind", "n")
+    joint = np.zeros((k + 2, k + 1))
+    for row in known.unionByName(rare).groupBy("before", "kind").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes
+        joint[row["before"], row["kind"]] = row["n"]
     in_class = joint.sum(0)
-    unigram = (in_class + 1) / (in_class.sum() + k)
-    chances = (joint + 5 * unigram) / (joint.sum(1, keepdims=True) + 5)
-    return Model(held, {w: int(at[i]) for i, w in enumerate(first)}, int(k - 2), chances, in_class, int(n), int(ends), int(distinct), end)
+    share = in_class / max(in_class.sum(), 1)
+    chances = (joint + 5 * share) / (joint.sum(1, keepdims=True) + 5)
+    return Model(words, chances, in_class, int(n), int(distinct), int(totals[2])), others
+
+
+PARTS = "doc_id long, row long, n_tokens long, n_known long, base_score double, score double, tail array<struct<hash: long, before: int>>"
+
+
+def _parts(model: Model):
+    """For each row the sums over tokens of the head, and its other tokens with the class before each, whose counts are joined later."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, line, ends in _flows(batches):
+            kinds, counts = model.words.find(line)
+            left = before(kinds, model.words.end)
+            counts[ends] = int(model.totals[model.words.end])
+            other = kinds > model.words.end
+            base = np.log10((counts + 1) / model.uniform)
+            score = np.zeros(len(line))
+            score[~other] = np.log10(model.chance(left[~other], kinds[~other], counts[~other]))
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            held = np.concatenate([[0], np.cumsum(other)])[np.append(starts, len(line))]
+            tail = pa.StructArray.from_arrays([pa.array(line[other].view(np.int64)), pa.array(left[other].astype(np.int32))], ["hash", "before"])
+            sums = lambda x: pa.array(np.add.reduceat(x, starts))  # noqa: B023,E731
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["row"], pa.array(ends - starts + 1), sums((counts > 0).astype(np.int64)), sums(base), sums(score), pa.ListArray.from_arrays(pa.array(held, pa.int32()), tail)], ["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "tail"])
 
-def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return run
+
+
+def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", clustered: int = CLUSTERED, head: int = HEAD, classes: int = CLASSES) -> DataFrame:
     """For each row: doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Words are cut at ``[\\x20\\x09-\\x0D]`` after A-Z are lower-cased; an end closes each text
     and counts as a token, so null, empty and blank texts have one token. The model is learned
-    from all rows where `training` holds. base_score: log10 probability under add-one
+    from all rows where `training` holds (see `class_model`). base_score: log10 probability under add-one
     unigrams. score: log10 probability under class bigrams, WEIGHT, and add-one unigrams, the
     rest, which sum to one over words seen and a word never seen. Ties in counts: words by
-    their bytes. Without a training row every token has probability 1 / 1 in the base and the
-    model's add-one share. Repeated rows, and those with a null identifier, give one output row each. An empty table gives an
-    empty result. Other columns are ignored.
+    their hash. Without a training row every token has probability 1. Repeated rows, and
+    those with a null identifier, give one output row each. An empty table gives an empty
+    result. Other columns are ignored. Words are told apart by 64-bit hashes.
 
-    Counts are gathered of all training words. Those of the HEAD most frequent are broadcast;
-    of the others a document's distinct words are joined with their counts by a shuffle, in
-    which no word is frequent, having missed the head.
+    Counts and classes are gathered of all training words. Those of the `head` most frequent are broadcast;
+    a document's other words are joined with theirs by a shuffle, in which no word is
+    frequent, having missed the head.
     """
     spark = docs.sparkSession
     workspace = Workspace(spark, "class-lm")
-    docs = docs.select(known_id(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    learned = docs.where("training")
-    counts = workspace.write(word_counts(learned), "counts")
-    model = class_model(counts, learned, learned.count())
-    held = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = pd.DataFrame([held.value.parts(t) for t in batch["text"]], columns=["n_tokens", "n_known", "base_score", "score", "tail"], index=batch.index)
-            yield pd.concat([batch[["doc_id", "row"]], rows], axis=1)
-
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
+    model, others = class_model(docs.where("training"), workspace, clustered, head, classes)
     # rows are told apart by hash of identifier and text, so repeated rows can share their sums
-    parts = workspace.write(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInPandas(run, "doc_id long, row long, n_tokens long, n_known long, base_score double, score double, tail array<struct<word: binary, times: long>>"), "parts")
-    tail = parts.where(F.size("tail") > 0).dropDuplicates(["row"]).select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.times")
-    found = tail.join(counts, "word").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"))
+    parts = workspace.write(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(_parts(model), PARTS), "parts")
+    tail = parts.where(F.size("tail") > 0).dropDuplicates(["row"]).select("row", F.explode("tail").alias("t")).select("row", "t.hash", "t.before")
+    ctx, kind = np.indices(model.chances.shape)
+    factor = model.weight * (1 - model.unseen) * model.chances / np.maximum(model.totals, 1)
+    table = spark.createDataFrame([(int(a), int(b), float(f)) for a, b, f in zip(ctx.ravel(), kind.ravel(), factor.ravel(), strict=True)], "before int, kind int, factor double")
+    n = F.coalesce("n", F.lit(0))
+    chance = F.when(F.col("n").isNull(), model.never()).otherwise(F.col("factor") * n + (1 - model.weight) * (n + 1) / model.uniform)
+    found = tail.join(others, "hash", "left").join(F.broadcast(table), ["before", "kind"], "left")
+    found = found.groupBy("row").agg(F.count("n").alias("known"), F.sum(F.log10(n + 1)).alias("base"), F.sum(F.log10(chance)).alias("more"))
     out = parts.drop("tail").join(found, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    score = F.col("score") + more
-    return null_back(out, "doc_id").select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
+    plus = lambda a, b, zero: F.col(a) + F.coalesce(b, F.lit(zero))
+    out = out.select("doc_id", "n_tokens", plus("n_known", "known", 0).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), plus("base_score", "base", 0.0).alias("base_score"), plus("score", "more", 0.0).alias("score"))
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -149,34 +149,78 @@ def test_class_lm(spark, tables):
     assert class_lm.score_texts(empty(spark).withColumn("held", F.lit(False)), ~F.col("held")).count() == 0
 
 
-@pytest.mark.parametrize("head", [0, 3, 1000])
-def test_class_lm_is_a_distribution(spark, head):
-    """Over the training words, the end and one word never seen, chances sum to one; whatever the head, the score is the same."""
-    docs = spark.createDataFrame([("a b a c",), ("a b d",), ("b a e f g",)], "text string")
-    counts = class_lm.word_counts(docs)
-    known = {bytes(r["word"]): r["n"] for r in counts.collect()}
-    model = class_lm.class_model(counts, docs, 3, clustered=2, head=head, classes=2)
-    for before in ("", "a", "g"):
-        total = 0.0
-        for word in [*map(bytes.decode, known), "never"]:
-            parts, just = model.parts(f"{before} {word}"), model.parts(before)
-            tail = lambda p: sum(t["times"] * math.log10(known.get(t["word"], 0) + 1) for t in p[4])
-            end = model.parts(word)[3] + tail(model.parts(word)) - model.parts("")[3]
-            assert np.isfinite(end)
-            last = math.log10(_chance(model, known, before, word))
-            total += 10**last
-            assert parts[0] == just[0] + 1
-        assert total + _chance(model, known, before, None) == pytest.approx(1, abs=1e-9)
-
-
-def _chance(model, known, before, word):
-    """From the definition, with classes of single words."""
-    other, uniform = model.end + 1, model.n + model.distinct + 1
-    kind = lambda w: model.end if w is None else model.classes.get(w.encode(), other)
-    c = model.ends if word is None else known.get(word.encode(), 0)
-    k = kind(word)
-    inside = (c + 1) / (model.totals[other] + max(model.distinct - model.clustered - 1, 0) + 1) if k == other else c / model.totals[k]
-    return class_lm.WEIGHT * model.chances[kind(before or None), k] * inside + (1 - class_lm.WEIGHT) * (c + 1) / uniform
+@pytest.mark.parametrize("head", [4, 40, 100_000])
+def test_class_lm_by_the_definition(spark, tables, head):
+    """Every text's score from the tables in plain Python; after each context, chances over all training words, the end and one word never seen sum to one."""
+    from kolot.llm.common import Workspace, word_hashes
+
+    docs = tables[0].limit(60).select("doc_id", "text").unionByName(documents(spark, ["zzz the of zzz", "the of"]).selectExpr("doc_id + 1000000 AS doc_id", "text"))
+    docs = docs.withColumn("training", F.col("doc_id") < 1000000)
+    model, others = class_lm.class_model(docs.where("training").selectExpr("coalesce(text, '') AS text"), Workspace(spark, "test"), clustered=4, head=head, classes=3)
+    plain = docs.collect()
+    counts, ends = Counter(), 0
+    for r in plain:
+        if r["training"]:
+            counts.update(class_lm.tokens(r["text"] or ""))
+            ends += 1
+    hashed = lambda w: int(word_hashes([w])[0])
+    kinds = dict(zip(model.words.hashes.tolist(), model.words.kinds.tolist(), strict=True))
+    found = {r["hash"] % 2**64: r for r in others.collect()}
+    every = kinds | {h: r["kind"] for h, r in found.items()}
+    assert set(every) == {hashed(w) for w in counts} and len(found) == len(counts) - 4
+    assert all(found[h]["n"] == n for w, n in counts.items() if (h := hashed(w)) in found)
+    assert len(kinds) <= head and model.distinct == len(counts) + 1 and model.n == sum(counts.values()) + ends
+    end = model.words.end
+    totals, moves = Counter(), Counter()
+    after = lambda w: end if w is None else kinds.get(hashed(w), end + 1)
+    for r in plain:
+        if r["training"]:
+            line = [None, *class_lm.tokens(r["text"] or ""), None]
+            for a, b in zip(line, line[1:], strict=False):
+                kind = end if b is None else every[hashed(b)]
+                moves[after(a), kind] += 1
+                totals[kind] += 1
+    share = {k: n / model.n for k, n in totals.items()}
+    unseen = (sum(n == 1 for n in counts.values()) + 0.5) / (model.n + 1)
+    leaving = {c: sum(n for (a, _), n in moves.items() if a == c) for c in range(end + 2)}
+
+    def chance(context, word):
+        kind, c = (end, ends) if word is None else (every.get(hashed(word)), counts[word])
+        if not c:
+            return 0.9 * unseen + 0.1 / model.uniform
+        follows = (moves[context, kind] + 5 * share[kind]) / (leaving[context] + 5)
+        return 0.9 * (1 - unseen) * follows * c / totals[kind] + 0.1 * (c + 1) / model.uniform
+
+    for context in range(end + 2):
+        assert sum(chance(context, w) for w in [*counts, None, b"never seen"]) == pytest.approx(1, abs=1e-9)
+    got = {(r["doc_id"], r["n_tokens"]): r for r in class_lm.score_texts(docs, F.col("training"), clustered=4, head=head, classes=3).collect()}
+    for r in plain:
+        line = [None, *class_lm.tokens(r["text"] or ""), None]
+        if len(line) < 400:
+            want = sum(math.log10(chance(after(a), b)) for a, b in zip(line, line[1:], strict=False))
+            assert got[r["doc_id"], len(line) - 1]["score"] == pytest.approx(want, abs=1e-6)
+
+
+def test_words_join_the_class_of_their_neighbours():
+    """The weighted votes are the likelihood of the word in each class, up to what is the same for all."""
+    joint = np.array([[1.0, 9, 2, 3], [8, 2, 3, 2], [5, 6, 0, 1], [2, 3, 1, 4]])
+    w = class_lm.class_weights(joint)
+    assert w.shape == (8, 2)
+    before_one, after_one = w[0] - w[0][0], w[4] - w[4][0]
+    share = (joint.sum(0) + 1) / (joint.sum() + 4)
+    p = (joint + 5 * share) / (joint.sum(1, keepdims=True) + 5)
+    assert before_one[1] == pytest.approx(math.log(p[0, 1] / (joint.sum(0)[1] + 1)) - math.log(p[0, 0] / (joint.sum(0)[0] + 1)))
+    assert after_one[1] == pytest.approx(math.log(p[1, 0]) - math.log(p[0, 0]))
+
+
+def test_classes_are_summed_across_batches():
+    import pyarrow as pa
+
+    w = np.array([[1.0, 0], [0, 1], [0, 0], [0, 0]])
+    pack = lambda code, n: code << class_lm.COUNT_BITS | n
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["hash", "codes"])
+    got = class_lm._classified(w)(iter([batch([(1, [pack(0, 2)]), (5, [pack(1, 1), pack(2, 9)])]), batch([(5, [pack(0, 3)])]), batch([(5, [pack(1, 4)]), (9, [pack(1, 1)])])]))
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [(1, 0, 2), (5, 1, 8), (9, 1, 1)]
 
 
 def test_exchange_raises_the_likelihood():
