@@ -7,7 +7,11 @@ from dataclasses import dataclass, field, fields
 from enum import Enum
 
 
-class ConfigError(ValueError):
+class NormalizerError(RuntimeError):
+    """A call that is refused."""
+
+
+class ConfigError(NormalizerError, ValueError):
     """Unknown key, wrong value or malformed text."""
 
 

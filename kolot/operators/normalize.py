@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -20,6 +21,8 @@ STABLE = "\\u0000-\\u02ff\\u05d0-\\u05ea\\u05f3\\u05f4\\u2010-\\u2027\\u20a0-\\u
 #: A digit or Hebrew mark, or a quote that becomes one, may start a built-in rule; other characters may need NFC.
 NEEDS_SCAN = rf"""[0-9׳״]|[{L.HEBREW_BLOCK}]["']|[^{STABLE}]"""
 
+MAY_SCAN = re.compile(NEEDS_SCAN)
+
 
 def ordered(extra: Sequence[Rule] = ()) -> list[Rule]:
     """Built-in rules and others, by priority; others come after built-in ones of theirs."""
@@ -27,7 +30,9 @@ def ordered(extra: Sequence[Rule] = ()) -> list[Rule]:
 
 
 def normalize_text(text: str, cfg: Config = Config(), extra_rules: Sequence[Rule] = ()) -> str:
-    """One text, without Spark."""
+    """One text, without Spark. Anything but a text is a TypeError."""
+    if not isinstance(text, str):
+        raise TypeError(f"text must be str, not {type(text).__name__}")
     return passes.finalize(scan(passes.clean(text, cfg), ordered(extra_rules), cfg), cfg)
 
 
@@ -100,7 +105,7 @@ def register(spark: SparkSession, cfg: Config = Config()) -> None:
     @F.pandas_udf("string")
     def said(batch: pd.Series) -> pd.Series:
         all_rules = ordered()
-        return batch.map(lambda t: None if t is None else passes.finalize(scan(passes.clean(t, cfg), all_rules, cfg), cfg))
+        return batch.map(lambda t: None if t is None else passes.finalize(scan(passes.clean(t, cfg), all_rules, cfg) if MAY_SCAN.search(t) else passes.clean(t, cfg), cfg))
 
     spark.udf.register("normalize_hebrew", said)
     spark.udtf.register("explain_spans", F.udtf(ExplainSpans, returnType=SPAN))

@@ -37,13 +37,15 @@ def protected_spans(text: Column) -> Column:
 
 def unexplained(text: Column, said: Column) -> Column:
     """Tokens of the reading that keep a digit and lie in no protected span of the text, and hold none."""
-    spans = protected_spans(text)
 
-    def explained(token: Column) -> Column:
+    def explained(token: Column, spans: Column) -> Column:
         bare = F.regexp_replace(token, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\z", "")
         return F.exists(spans, lambda s: s.contains(bare) | bare.contains(s))
 
-    return F.filter(tokens(said), lambda t: t.rlike(ANY_DIGIT) & ~explained(t))
+    kept = lambda t, spans: t.rlike(ANY_DIGIT) & ~explained(t, spans)
+    # spans are looked for once, and in texts whose reading has a digit only
+    found = F.transform(F.array(protected_spans(text)), lambda spans: F.filter(tokens(said), lambda t: kept(t, spans)))[0]
+    return F.when(said.rlike(ANY_DIGIT), found).otherwise(F.array().cast("array<string>"))
 
 
 def measure(read: DataFrame, text: str = "text", said: str = "said", category: str = "category") -> DataFrame:
