@@ -9,10 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolot.llm.common import NO_ID, known_id, text_or_empty
+from kolot.llm.common import NO_ID, arrow_rows, known_id, text_or_empty
 
 
 @lru_cache(maxsize=4)
@@ -141,30 +142,49 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, length: int =
     return packed.withColumn("doc_ids", F.transform("doc_ids", lambda i: F.when(i != NO_ID, i)))
 
 
-def write_matrices(packed: DataFrame, path: str, length: int = 2048, pad_id: int = 0, rows_per_file: int = 4096) -> DataFrame:
-    """Writes packed rows as Parquet of matrices: ids and positions of `rows` x `length` int32, padded, with cu_seqlens by row; returns it read again.
+def write_matrices(packed: DataFrame, path: str, length: int = 2048, pad_id: int = 0, rows_per_matrix: int = 256) -> DataFrame:
+    """Writes packed rows as Parquet of id matrices and returns it read again; an empty input writes an empty table.
 
-    A file row is one matrix of up to `rows_per_file` packed rows; pads have position 0.
+    A row is one matrix: `rows`, `length` and `width` (bytes of an id), ids of rows x length
+    little-endian and filled up with pad_id, and for each of its rows pack_ids, n_tokens,
+    doc_ids, offsets, cu_seqlens (0 and the cumulative lengths of the segments) and
+    position_resets. A task writes matrices of up to `rows_per_matrix` rows of what it has packed.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
 
-        def matrix(rows: pd.DataFrame) -> pd.DataFrame:
-            ids, positions = np.full((len(rows), length), pad_id, np.int32), np.zeros((len(rows), length), np.int32)
-            for k, (n, data, cu) in enumerate(zip(rows["n_tokens"], rows["ids"], rows["cu_seqlens"], strict=True)):
-                ids[k, :n] = np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32)
-                positions[k, :n] = np.arange(n) - np.repeat(cu[:-1], np.diff(cu))
-            return pd.DataFrame({"rows": [len(rows)], "pack_ids": [rows["pack_id"].tolist()], "ids": [ids.tobytes()], "positions": [positions.tobytes()], "cu_seqlens": [[list(map(int, c)) for c in rows["cu_seqlens"]]]})
+        def matrix(rows: list[dict]) -> pa.RecordBatch:
+            width = len(rows[0]["ids"]) // rows[0]["n_tokens"]
+            pad = pad_id.to_bytes(width, "little")
+            ids = b"".join(r["ids"] + pad * (length - r["n_tokens"]) for r in rows)
+            one = {"rows": len(rows), "length": length, "width": width, "pack_ids": [r["pack_id"] for r in rows], "ids": ids} | {c: [r[c] for r in rows] for c in ROW_COLUMNS}
+            return pa.RecordBatch.from_pylist([one], schema)
 
         for batch in batches:
-            held.append(batch)
-            while sum(map(len, held)) >= rows_per_file:
-                rows = pd.concat(held)
-                yield matrix(rows[:rows_per_file])
-                held = [rows[rows_per_file:]]
-        if sum(map(len, held)):
-            yield matrix(pd.concat(held))
-
-    packed.mapInPandas(run, "rows int, pack_ids array<string>, ids binary, positions binary, cu_seqlens array<array<int>>").write.parquet(path)
-    return packed.sparkSession.read.parquet(path)
+            for row in batch.to_pylist():
+                held.append(row)
+                if len(held) == rows_per_matrix:
+                    yield matrix(held)
+                    held = []
+        if held:
+            yield matrix(held)
+
+    ints = pa.list_(pa.list_(pa.int32()))
+    schema = pa.schema([("rows", pa.int32()), ("length", pa.int32()), ("width", pa.int32()), ("pack_ids", pa.list_(pa.string())), ("n_tokens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.list_(pa.int64()))), ("offsets", ints), ("cu_seqlens", ints), ("position_resets", ints), ("ids", pa.binary())])
+    fields = "rows int, length int, width int, pack_ids array<string>, n_tokens array<int>, doc_ids array<array<long>>, offsets array<array<int>>, cu_seqlens array<array<int>>, position_resets array<array<int>>, ids binary"
+    spark = packed.sparkSession
+    with arrow_rows(spark, 1000):
+        packed.mapInArrow(run, fields).write.parquet(path)
+    return spark.read.schema(fields).parquet(path)
+
+
+ROW_COLUMNS = ["n_tokens", "doc_ids", "offsets", "cu_seqlens", "position_resets"]
+
+
+def rows_of(matrices: DataFrame) -> DataFrame:
+    """The rows of written matrices, without their padding: pack_id and the columns of `pack_documents`."""
+    one = matrices.select("length", "width", "ids", *ROW_COLUMNS, F.posexplode("pack_ids").alias("at", "pack_id"))
+    cell = {c: F.get(c, F.col("at")) for c in ROW_COLUMNS}
+    ids = F.substring("ids", F.col("at") * F.col("length") * F.col("width") + 1, cell["n_tokens"] * F.col("width"))
+    return one.select("pack_id", *(cell[c].alias(c) for c in ROW_COLUMNS), ids.alias("ids"))

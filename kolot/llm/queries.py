@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kolot.llm import class_lm, exact_dedup, language_id, line_frequency, mixing, near_dedup, packing, pieces, quality_classifier, toxicity
-from kolot.llm.common import fold, table, text_or_empty
+from kolot.llm.common import Workspace, fold, table, text_or_empty
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """The rows of the id matrices that it writes to the shared folder."""
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.rows_of(packing.write_matrices(packed, f"{Workspace(spark, 'packing').path}/matrices"))
 
 
 def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

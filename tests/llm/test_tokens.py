@@ -32,16 +32,24 @@ def test_packing_loses_nothing(spark, tmp_path):
             got.setdefault((d, k), []).extend(p)
     assert sorted((d, tuple(ids)) for (d, _), ids in got.items()) == want
     assert full / (64 * packed.count()) > 0.9
-    matrices = packing.write_matrices(packed, str(tmp_path / "m"), length=64, rows_per_file=10).collect()
-    assert sum(m["rows"] for m in matrices) == packed.count()
-    for m in matrices:
-        ids, positions = (np.frombuffer(m[c], np.int32).reshape(m["rows"], 64) for c in ("ids", "positions"))
-        for row, cu in zip(positions, m["cu_seqlens"], strict=True):
-            assert row[: cu[-1]].tolist() == [k for a, b in zip(cu, cu[1:], strict=False) for k in range(b - a)]
-        assert ids.shape == positions.shape
     assert packing.pack_documents(empty(spark), path, P.PATTERN).count() == 0
 
 
+def test_matrices(spark, tmp_path):
+    """Rows of one length, padded, and what is read back from them is what was packed."""
+    docs = documents(spark, [*TEXTS, *(f"document {i} " * (i % 17 + 1) for i in range(60))])
+    packed = packing.pack_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, length=64, window_tokens=3000)
+    matrices = packing.write_matrices(packed, str(tmp_path / "m"), length=64, pad_id=7, rows_per_matrix=10)
+    for m in matrices.collect():
+        ids = np.frombuffer(m["ids"], "<u2").reshape(m["rows"], 64)
+        assert m["rows"] <= 10 and (m["length"], m["width"]) == (64, 2)
+        for row, n in zip(ids, m["n_tokens"], strict=True):
+            assert (row[n:] == 7).all()
+    assert sorted(map(str, packing.rows_of(matrices).select(packed.columns).collect())) == sorted(map(str, packed.collect()))
+    none = packing.write_matrices(packed.limit(0), str(tmp_path / "none"))
+    assert none.count() == 0 and packing.rows_of(none).count() == 0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=60))
 def test_best_fit_is_exact(lengths):
