@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kolot.functions.numerals import lookup
+
 # Letters, marks and words of the trigger classes, in the order in which a sentence is filed.
 LETTER = "\u0590-\u05ff"
 MARKS = "״\""
@@ -98,18 +100,20 @@ def mine(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return rows.groupBy("skeleton").agg(first).select("first.*", "skeleton").select("corpus", "corpus_order", "line_no", "text", "category", "skeleton")
 
 
-def sample(mined: DataFrame, target: int, seed: int = 0, by_code_point: bool = False) -> DataFrame:
-    """For each corpus `target` texts in turns over its categories: the first of each, then the second, and so on.
+def sample(mined: DataFrame, target: int | dict[str, int], seed: int = 0, by_code_point: bool = False) -> DataFrame:
+    """For each corpus `target` texts, or its own of a dict (none without one), in turns over its categories: the first of each, then the second, and so on.
 
     The draw is by a hash of the seed and the text (by the text itself where `by_code_point`),
     so it is the same on any cluster. Places within a category are bounded by target before
     the corpus's turns are put in order.
     """
+    most = max(target.values(), default=0) if isinstance(target, dict) else target
+    wanted = F.coalesce(lookup(target, F.col("corpus")), F.lit(0)) if isinstance(target, dict) else F.lit(target)
     draw = F.col("text") if by_code_point else F.xxhash64(F.lit(seed), "text")
     turn = F.row_number().over(Window.partitionBy("corpus", "category").orderBy(draw, "text"))
-    turns = mined.select("corpus", "category", "text").distinct().withColumn("turn", turn).where(F.col("turn") <= target)
+    turns = mined.select("corpus", "category", "text").distinct().withColumn("turn", turn).where(F.col("turn") <= most)
     place = F.row_number().over(Window.partitionBy("corpus").orderBy("turn", "category"))
-    return turns.withColumn("place", place).where(F.col("place") <= target).select("corpus", "category", "text")
+    return turns.withColumn("place", place).where(F.col("place") <= most).where(F.col("place") <= wanted).select("corpus", "category", "text")
 
 
 def category_counts(mined: DataFrame) -> DataFrame:

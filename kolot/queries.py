@@ -289,6 +289,19 @@ def mine_sample(spark, sf_dir):
     return mining.sample(_mined(spark, sf_dir), 200, by_code_point=True)
 
 
+_TARGETS = {"en": 40, "de": 7, "fr": 150}
+
+
+@query(
+    _MINED
+    + ", turns AS (SELECT corpus, category, text, row_number() OVER (PARTITION BY corpus, category ORDER BY text) AS turn FROM (SELECT DISTINCT corpus, category, text FROM mined)) "
+    + f"SELECT corpus, category, text FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY turn, category) AS place FROM turns) WHERE place <= {O.case_of('corpus', _TARGETS, '0')}"
+)
+def mine_targets(spark, sf_dir):
+    """Each corpus has a target of its own; one without gets none."""
+    return mining.sample(_mined(spark, sf_dir), _TARGETS, by_code_point=True)
+
+
 @query(_MINED + "SELECT corpus, category, count(*) AS n FROM mined GROUP BY ALL")
 def mine_category_counts(spark, sf_dir):
     return mining.category_counts(_mined(spark, sf_dir))

@@ -13,6 +13,7 @@ from kolot.functions.numerals import lit_of
 from kolot.operators import normalize as Z
 from kolot.plans import mining, quality
 from kolot.registry import query, table
+from kolot.sources import lexicon
 
 
 def read(df: DataFrame, keys: list[str], texts: dict[str, Column], cfg: Config = Config()) -> DataFrame:
@@ -344,3 +345,28 @@ def mine_triggers(spark, sf_dir):
 def mine_trigger_counts(spark, sf_dir):
     """Numbers count as equal in a skeleton: one sentence of each class is left."""
     return mining.category_counts(mining.mine(_sentence_lines(spark, sf_dir))).select("category", "n")
+
+
+def _rows_sql(columns: str, rows: list[tuple]) -> str:
+    value = lambda x: str(x).lower() if isinstance(x, bool) else O.q(x)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(value, row)) + ')' for row in rows)}) t({columns})"
+
+
+@query(_rows_sql("spelling, one, many, gender", _UNITS))
+def lexicon_units(spark, sf_dir):
+    return lexicon.units(spark)
+
+
+@query(_rows_sql("spelling, code, one, many, gender, cent, cents, cent_gender", [(s, *row) for *row, spellings in L.CURRENCIES for s in spellings]))
+def lexicon_currencies(spark, sf_dir):
+    return lexicon.currencies(spark)
+
+
+@query(_rows_sql("noun, gender", list(L.NOUNS.items())))
+def lexicon_nouns(spark, sf_dir):
+    return lexicon.nouns(spark)
+
+
+@query(_rows_sql("short, said, is_word", [(s, w, s in L.READ_AS_WORDS) for s, w in _SHORT.items()]))
+def lexicon_abbreviations(spark, sf_dir):
+    return lexicon.abbreviations(spark)

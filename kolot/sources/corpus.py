@@ -7,7 +7,12 @@ by hand and small. Corpora are read by lines.
 from __future__ import annotations
 
 import json
+import re
+import zlib
+from collections.abc import Iterator
+from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,9 +72,50 @@ def read_lines(spark: SparkSession, path: str, corpus: str, order: int = 0) -> D
     return spark.read.text(path).select(F.lit(corpus).alias("corpus"), F.lit(order).alias("corpus_order"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("text"))
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, bytes) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+def read_cut_gzip(spark: SparkSession, path: str, corpus: str, order: int = 0, cap_bytes: int | None = None) -> DataFrame:
+    """`read_lines` of gzip files that may break off, or of the first `cap_bytes` of each: the whole lines before the cut, numbered from 0.
+
+    A file without one readable line is a CorpusError. A file is one record of a task, which a
+    cap bounds; a gzip stream can't be split anyway.
+    """
+    content = F.substring("content", 1, cap_bytes) if cap_bytes is not None else F.col("content")
+    files = spark.read.format("binaryFile").load(path).select("path", content.alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                text, cut = _inflated(data)
+                found = re.split("\r\n|\r|\n", text.decode("utf-8", "replace"))
+                if cut or not found[-1]:
+                    found.pop()
+                if cut and not found:
+                    raise CorpusError(f"{name}: not readable as gzip")
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int64()), pa.array(found, pa.string())], ["line_no", "text"])
+
+    rows = files.mapInArrow(run, "line_no long, text string")
+    return rows.select(F.lit(corpus).alias("corpus"), F.lit(order).alias("corpus_order"), "line_no", "text")
+
+
+def _inflated(data: bytes) -> tuple[bytes, bool]:
+    """What can be unpacked of gzip members one after another, and whether the last breaks off."""
+    out = []
+    while data:
+        one = zlib.decompressobj(31)
+        try:
+            out.append(one.decompress(data))
+        except zlib.error:
+            return b"".join(out), True
+        if not one.eof:
+            return b"".join(out), True
+        data = one.unused_data
+    return b"".join(out), not out
+
+
+def digests(spark: SparkSession, path: str, cap_bytes: int | None = None) -> DataFrame:
+    """(path, sha256, bytes) of files, or of the first `cap_bytes` of each."""
+    files = spark.read.format("binaryFile").load(path)
+    content = F.substring("content", 1, cap_bytes) if cap_bytes is not None else F.col("content")
+    return files.select("path", F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("bytes"))
 
 
 def write_sectioned(sampled: DataFrame, path: str) -> None:
@@ -80,11 +126,17 @@ def write_sectioned(sampled: DataFrame, path: str) -> None:
     lines.repartition("corpus").sortWithinPartitions("corpus", "category", "text").select("corpus", "value").write.partitionBy("corpus").text(path)
 
 
-def manifest(sampled: DataFrame, sources: DataFrame, seed: int) -> str:
-    """JSON with the seed and, for each corpus, its digest and counts; sources is (corpus, sha256, bytes), a row for each corpus."""
+def manifest(sampled: DataFrame, sources: DataFrame, seed: int, generated: str | None = None, note: str = "") -> str:
+    """JSON with the day, seed, note and, for each corpus, all columns of sources and the counts of its sample.
+
+    sources is a row for each corpus: (corpus, sha256, bytes), and what is known of opus,
+    version, url, licence, capped and candidates.
+    """
     by = sampled.groupBy("corpus", "category").agg(F.count(F.lit(1)).alias("n")).groupBy("corpus").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("categories"), F.sum("n").alias("sampled"))
     rows = sources.join(by, "corpus", "left").orderBy("corpus").collect()
-    return json.dumps({"seed": seed, "corpora": {r["corpus"]: {"sha256": r["sha256"], "fetched_bytes": r["bytes"], "sampled": r["sampled"] or 0, "categories": r["categories"] or {}} for r in rows}}, ensure_ascii=False, indent=1)
+    own = [c for c in sources.columns if c not in ("corpus", "bytes")]
+    corpora = {r["corpus"]: {c: r[c] for c in own} | {"fetched_bytes": r["bytes"], "sampled": r["sampled"] or 0, "categories": r["categories"] or {}} for r in rows}
+    return json.dumps({"generated": generated or date.today().isoformat(), "seed": seed, "note": note, "corpora": corpora}, ensure_ascii=False, indent=1)
 
 
 def verify(recorded: DataFrame, found: DataFrame) -> DataFrame:
