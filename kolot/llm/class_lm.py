@@ -309,8 +309,8 @@ class Model:
         return self.weight * (1 - self.unseen) * self.chances[left, kinds] * inside + (1 - self.weight) * (counts + 1) / self.uniform
 
     def never(self) -> float:
-        """Of a word that does not occur in training."""
-        return self.weight * self.unseen + (1 - self.weight) / self.uniform
+        """Of a word that does not occur in training: one of as many as occur once, and one more."""
+        return (self.weight * self.unseen + (1 - self.weight) / self.uniform) / (self.once + 1 if self.n else 1)
 
 
 def class_model(docs: DataFrame, workspace: Workspace, clustered: int = CLUSTERED, head: int = HEAD, classes: int = CLASSES) -> tuple[Model, DataFrame]:
@@ -390,7 +390,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     and counts as a token, so null, empty and blank texts have one token. The model is learned
     from all rows where `training` holds (see `class_model`). base_score: log10 probability under add-one
     unigrams. score: log10 probability under class bigrams, WEIGHT, and add-one unigrams, the
-    rest, which sum to one over words seen and a word never seen. Ties in counts: words by
+    rest, which sum to one over words seen and words never seen, as many as were seen once and one more. Ties in counts: words by
     their hash. Without a training row every token has probability 1. Repeated rows, and
     those with a null identifier, give one output row each. An empty table gives an empty
     result. Other columns are ignored. Words are told apart by 64-bit hashes.

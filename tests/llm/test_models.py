@@ -151,7 +151,7 @@ def test_class_lm(spark, tables):
 
 @pytest.mark.parametrize("head", [4, 40, 100_000])
 def test_class_lm_by_the_definition(spark, tables, head):
-    """Every text's score from the tables in plain Python; after each context, chances over all training words, the end and one word never seen sum to one."""
+    """Every text's score from the tables in plain Python; after each context, chances over all training words, the end and the words never seen sum to one."""
     from kolot.llm.common import Workspace, word_hashes
 
     docs = tables[0].limit(60).select("doc_id", "text").unionByName(documents(spark, ["zzz the of zzz", "the of"]).selectExpr("doc_id + 1000000 AS doc_id", "text"))
@@ -181,18 +181,19 @@ def test_class_lm_by_the_definition(spark, tables, head):
                 moves[after(a), kind] += 1
                 totals[kind] += 1
     share = {k: n / model.n for k, n in totals.items()}
-    unseen = (sum(n == 1 for n in counts.values()) + 0.5) / (model.n + 1)
+    once = sum(n == 1 for n in counts.values())
+    unseen = (once + 0.5) / (model.n + 1)
     leaving = {c: sum(n for (a, _), n in moves.items() if a == c) for c in range(end + 2)}
 
     def chance(context, word):
         kind, c = (end, ends) if word is None else (every.get(hashed(word)), counts[word])
         if not c:
-            return 0.9 * unseen + 0.1 / model.uniform
+            return (0.9 * unseen + 0.1 / model.uniform) / (once + 1)
         follows = (moves[context, kind] + 5 * share[kind]) / (leaving[context] + 5)
         return 0.9 * (1 - unseen) * follows * c / totals[kind] + 0.1 * (c + 1) / model.uniform
 
     for context in range(end + 2):
-        assert sum(chance(context, w) for w in [*counts, None, b"never seen"]) == pytest.approx(1, abs=1e-9)
+        assert sum(chance(context, w) for w in [*counts, None]) + (once + 1) * chance(context, b"never seen") == pytest.approx(1, abs=1e-9)
     got = {(r["doc_id"], r["n_tokens"]): r for r in class_lm.score_texts(docs, F.col("training"), clustered=4, head=head, classes=3).collect()}
     for r in plain:
         line = [None, *class_lm.tokens(r["text"] or ""), None]
