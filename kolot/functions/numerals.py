@@ -73,11 +73,13 @@ def _parts(n: Column, gender: str, most: int) -> Column:
 
 
 def cardinal(n: Column, gender: str = "f", bound: bool = False, most: int = 2**63 - 1) -> Column:
-    """A 64-bit integer in words; null stays null. `most` bounds the magnitude of the values, for a shorter expression."""
+    """A 64-bit integer in words; null stays null. `most` bounds the magnitude of the values, for a shorter expression; a value beyond it is an error."""
     n = n.cast("long")
     # the least value has no magnitude in 64 bits
     size = F.abs(F.when(n == LEAST, 0).otherwise(n)) if most == 2**63 - 1 else F.abs(n)
     said = F.when(size == 0, L.ONES[gender][0]).otherwise(_parts(size, gender, most))
+    if most < 2**63 - 1:
+        said = F.when(size > most, F.raise_error(F.concat(F.lit(f"a number beyond {most}: "), n.cast("string")))).otherwise(said)
     if most == 2**63 - 1:
         said = F.when(n == LEAST, S.cardinal(2**63, gender)).otherwise(said)
     if bound:

@@ -75,7 +75,7 @@ def _measured(m: re.Match[str], cfg: Config, one: str, many: str, gender: str, a
 
 
 def measure(m: re.Match[str], cfg: Config) -> str | None:
-    """A fraction keeps the singular: it is read off an instrument, not counted."""
+    """Whole numbers count the unit; after a fraction its singular stands."""
     if not cfg.expand_units:
         return None
     one, many, gender = L.UNIT_OF[m["unit"]]

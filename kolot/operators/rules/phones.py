@@ -36,7 +36,7 @@ def after(cue: re.Pattern[str]):
 
 
 def international(m: re.Match[str], cfg: Config) -> str:
-    """The trunk zero isn't dialled behind a country code, so it isn't read."""
+    """Plus, the country's digits, and the national number without a leading zero."""
     national = re.sub(r"\D", "", m[0])[len(COUNTRY) :].removeprefix("0")
     return f"{L.PLUS} {S.digits(COUNTRY)} {S.digits(national)}"
 

@@ -137,15 +137,15 @@ def _unit_sql(unit: str, most: int) -> str:
     return f"CASE WHEN cents % 100 = 0 THEN {whole} ELSE {O.decimal('f', most)} || {O.q(after)} END"
 
 
-@query(f"SELECT event_id, {_unit_sql('ק״מ', 999)} AS km, {_unit_sql('דקות', 999)} AS minutes FROM ({O.in_cents('event_id', 'value', 'events')})")
+@query(f"SELECT event_id, {_unit_sql('ק״מ', 10**9)} AS km, {_unit_sql('דקות', 10**9)} AS minutes FROM ({O.in_cents('event_id', 'value', 'events')})")
 def unit_words(spark, sf_dir):
     v = F.col("value")
-    return table(spark, sf_dir, "events").select("event_id", V.unit_words(v, "ק״מ", most=999).alias("km"), V.unit_words(v, "דקות", most=999).alias("minutes"))
+    return table(spark, sf_dir, "events").select("event_id", V.unit_words(v, "ק״מ").alias("km"), V.unit_words(v, "דקות").alias("minutes"))
 
 
-@query(f"SELECT event_id, {_unit_sql('מעלות', 999)} || ' {L.DEGREE_SCALES['C']}' AS words FROM ({O.in_cents('event_id', 'value', 'events')})")
+@query(f"SELECT event_id, {_unit_sql('מעלות', 10**9)} || ' {L.DEGREE_SCALES['C']}' AS words FROM ({O.in_cents('event_id', 'value', 'events')})")
 def degree_words(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", V.degree_words(F.col("value"), "C", most=999).alias("words"))
+    return table(spark, sf_dir, "events").select("event_id", V.degree_words(F.col("value"), "C").alias("words"))
 
 
 def _nouns(spark) -> DataFrame:

@@ -92,3 +92,25 @@ def test_quality(spark):
     got = {(r["category"], r["total"], r["unchanged"], r["digit_kept"]) for r in quality.measure(df).collect()}
     assert got == {("a", 2, 1, 0), ("b", 1, 1, 1), (None, 1, 1, 0), (None, 4, 3, 1)}
     assert df.select(quality.prose(F.lit("אחת שתי 3 שלוש ארבע")), quality.points_in(F.lit("שָׁלוֹם־")), quality.digits_in(F.lit("1٢"))).first()[:] == ("אחת שתי שלוש ארבע", 3, 2)
+
+
+def test_numbers_beyond_the_bound_are_errors(spark):
+    """No number is read wrong because a shorter expression was asked for."""
+    from kolot.functions import numerals as N
+
+    df = spark.createDataFrame([(999,), (1000,)], "n long")
+    assert df.where("n < 1000").select(N.cardinal(F.col("n"), most=999)).first()[0].startswith("תשע מאות")
+    with pytest.raises(Exception, match="beyond 999"):
+        df.select(N.cardinal(F.col("n"), most=999)).collect()
+
+
+def test_texts_without_a_mark_are_left_alone(spark):
+    """The gates of the passes let through whatever the single-value passes would change."""
+    from kolot.config import Config
+    from kolot.functions import text as T
+    from kolot.operators import passes
+
+    texts = ["plain", "a  b", " a", "a ", "a\nb ", "a\n\n\nb", "a ,b", "x\n- y", "٣) y", "12. z", "+ p", "\ue02ax", "a\u00a0b", "a\u200bb", "~~s~~", "a\t\tb", "q\n b", "\u3000x", "> q", "a|", "\\*a\\*", "<https://a.b>", "[r]: x\ny", "---", "_i_", 'צה"ל', "ד'", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.finalize(T.clean(F.col("t"))).alias("said")).collect()
+    for r in rows:
+        assert r["said"] == passes.finalize(passes.clean(r["t"], Config()), Config()), r["t"]
