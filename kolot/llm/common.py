@@ -94,7 +94,7 @@ def fold(id_col: str | Column, n: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % n
 
 
-#: Stands for a null identifier where rows pass through pandas, which has no null integer, or are joined.
+#: Stands for a null identifier where rows pass through pandas, which has no null integer, or are joined. There, in op3, op5 and op10, this least of all identifiers counts as null.
 NO_ID = -(2**63)
 
 
