@@ -101,6 +101,18 @@ def test_toxicity_learns_pairs():
     assert model.score("red fox") == pytest.approx(1 / (1 + math.exp(-(model.bias + w.sum() + pairs))))
 
 
+def test_terms_that_tell_beside_another_are_screened_in():
+    """A group mention stands in as many clean texts as toxic ones; beside the insult it tells."""
+    words = ["bad group", "bad group", "bad", "group", "group", "other", "other", "group"] * 60
+    labels = np.array([1, 1, 0, 0, 0, 0, 0, 0] * 60, float)
+    terms = [toxicity.text_terms(t) for t in words]
+    term = lambda w: toxicity.word_terms(w)[0]
+    assert term("bad") in toxicity.screened(terms, labels, least_chi2=100)
+    only = [t for t in toxicity.screened(terms, labels, least_chi2=150, least_pair_chi2=1e9)]
+    assert term("bad") in only and term("group") not in only
+    assert term("group") in toxicity.screened(terms, labels, least_chi2=150)
+
+
 def test_language(spark, tables):
     docs, _ = tables
     part = fold("doc_id", 4) == 2
