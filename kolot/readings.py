@@ -267,6 +267,22 @@ def read_sentences(spark, sf_dir):
     return table(spark, sf_dir, "orders").withColumn("n", key % 49 + 2).select("o_orderkey", text.alias("text")).select("o_orderkey", Z.normalize("text").alias("said"))
 
 
+_DAY_TEXT = "day(o_orderdate)::VARCHAR || '/' || month(o_orderdate)::VARCHAR || '/' || year(o_orderdate)::VARCHAR"
+
+
+@query(
+    "SELECT o_orderkey, unnest([5, 7 + d, 9 + d, 10 + d + t]) AS span_start, unnest([6 + d, 9 + d, 9 + d + t, 15 + d + t]) AS span_end, unnest(['percent-sign', 'number-prefix', 'date-numeric', 'protect']) AS rule,"
+    f" unnest([n::VARCHAR || '%', 'ב-', written, 'GPT-4']) AS matched, unnest([{O.amount('n', O.q(L.PERCENT), O.q(L.PERCENTS), 'm', 99)}, 'ב', {_DATE}, 'GPT-4']) AS spoken"
+    f" FROM (SELECT *, length(n::VARCHAR) AS d, length(written) AS t FROM (SELECT *, o_orderkey % 49 + 2 AS n, {_DAY_TEXT} AS written FROM orders))"
+)
+def explain_sentences(spark, sf_dir):
+    """Where each span of a sentence stands, which rule claims it and what is said for it."""
+    n = (F.col("o_orderkey") % 49 + 2).cast("string")
+    text = F.concat(F.lit("שולם "), n, F.lit("% ב-"), F.date_format("o_orderdate", "d/M/yyyy"), F.lit(" GPT-4"))
+    found = Z.explain(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")))
+    return found.withColumnRenamed("start", "span_start").withColumnRenamed("end", "span_end")
+
+
 #: (text before the name, after it) and what is left of a line.
 MARKED = {
     "heading": ("## ", " ##", ""), "quote": ("> ", "", ""), "item": ("- ", "", "."), "numbered": ("12) ", "", "."), "closed item": ("* ", "!", "!"), "code": ("`", "`", ""), "code of two": ("``", "``", ""), "strong": ("**", "**", ""),
