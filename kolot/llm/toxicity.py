@@ -135,13 +135,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from at most `most_of_label` rows of each label, those of the least hashes of their identifiers.
 
     Null labels and identifiers are left out; of repeated labels of an identifier the
-    greatest holds. Without rows of both labels only the bias is learned (0.5 without any row).
+    greatest holds, of different texts of one the least, and other columns are ignored. Texts
+    count whole, however long; a null text is an empty one. Without rows of both labels only
+    the bias is learned (0.5 without any row).
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("label = 1").orderBy(*order).limit(most_of_label).unionByName(known.where("label = 0").orderBy(*order).limit(most_of_label))
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.mapInPandas(_rows, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, label int, terms binary").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # repeated identifiers: one text, however many rows share it
+    rows = texts.mapInPandas(_rows, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, label int, terms binary").toPandas().sort_values("doc_id", kind="stable")
     return train([np.frombuffer(t, np.int32) for t in rows["terms"]], rows["label"].to_numpy(np.float64))
 
 

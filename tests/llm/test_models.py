@@ -101,6 +101,18 @@ def test_toxicity_learns_pairs():
     assert model.score("red fox") == pytest.approx(1 / (1 + math.exp(-(model.bias + w.sum() + pairs))))
 
 
+def test_toxicity_learns_one_text_of_an_identifier(spark):
+    """Many rows share an identifier: the least of their texts counts, wherever the rows lie."""
+    texts = ["red fox", "red", "fox", "sun"] * 30
+    rows = [(i, t) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, int(t == "red fox"), 0) for i, t in rows], "doc_id long, toxic int, quality int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    again = spark.createDataFrame([(0, f"zebra {k}") for k in range(50)] + rows + rows, "doc_id long, text string").withColumn("label", F.lit("x"))
+    one, two = (toxicity.fit(docs, labels) for docs in (once, again.repartition(3)))
+    assert one.index and one.index == two.index and one.bias == two.bias
+    assert np.array_equal(one.w, two.w) and np.array_equal(one.v, two.v)
+
+
 def test_terms_that_tell_beside_another_are_screened_in():
     """A group mention stands in as many clean texts as toxic ones; beside the insult it tells."""
     words = ["bad group", "bad group", "bad", "group", "group", "other", "other", "group"] * 60
