@@ -105,8 +105,7 @@ def finalize(text: Column, cfg: Config = Config()) -> Column:
     """Null stays null. Only texts that have something to tidy are split into lines."""
     if not cfg.clean_whitespace:
         return quoted(text)
-    inline = P.WHITE.replace("\t-\r", "\t\x0b-\r")
-    untidy = rf"[ \t]{{2}}|[{P.WHITE}][,.;:!?]|\n{{3}}|\n[{inline}]|[{inline}]\n|^[{P.WHITE}]|[{P.WHITE}]\z"
+    untidy = P.UNTIDY.replace(r"\Z", r"\z")
 
     def tidied(t: Column) -> Column:
         lines = F.transform(F.split(replaced(t, P.SPACING), "\n"), trimmed)

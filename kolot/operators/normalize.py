@@ -14,7 +14,7 @@ from kolot import lexicon as L
 from kolot.config import Config
 from kolot.functions import text as T
 from kolot.operators import passes, rules
-from kolot.operators.scanner import Rule, Span, scan, spans
+from kolot.operators.scanner import Rule, Rules, Span, scan, spans
 
 #: Characters that NFC leaves alone, alone and side by side: Latin with its composed letters, Hebrew letters and marks, general punctuation, currency signs.
 STABLE = "\\u0000-\\u02ff\\u05d0-\\u05ea\\u05f3\\u05f4\\u2010-\\u2027\\u20a0-\\u20cf"
@@ -24,9 +24,9 @@ NEEDS_SCAN = rf"""[0-9׳״]|[{L.HEBREW_BLOCK}]["']|[^{STABLE}]"""
 MAY_SCAN = re.compile(NEEDS_SCAN)
 
 
-def ordered(extra: Sequence[Rule] = ()) -> list[Rule]:
+def ordered(extra: Sequence[Rule] = ()) -> Rules:
     """Built-in rules and others, by priority; others come after built-in ones of theirs."""
-    return sorted([*rules.built_in(), *extra], key=lambda r: -r.priority)
+    return Rules(sorted([*rules.built_in(), *extra], key=lambda r: -r.priority))
 
 
 def normalize_text(text: str, cfg: Config = Config(), extra_rules: Sequence[Rule] = ()) -> str:

@@ -18,4 +18,4 @@ def read(m: re.Match[str], cfg: Config) -> str | None:
     return word and m[1] + word
 
 
-RULES = [Rule("abbrev", ABBREV, re.compile(PATTERN), read, needs_digit=False)]
+RULES = [Rule("abbrev", ABBREV, re.compile(PATTERN), read, needs_digit=False, needs=(L.GERESH + L.GERSHAYIM,))]

@@ -25,6 +25,8 @@ NOT_COUNTED, SCALES = frozenset(L.NOT_COUNTED), frozenset(L.COUNTED_SCALES)
 
 def after_times(m: re.Match[str]) -> bool:
     """The word before, cut off by white space, is the idiom "times"; the window holds that word, a letter before it and blanks."""
+    if not m.string[m.start() - 1 : m.start()].isspace():
+        return False
     head = m.string[: m.start()]
     word = LAST_WORD.search(head, max(0, len(head.rstrip()) - len(L.TIMES) - 1))
     return word is not None and word[1] == L.TIMES
@@ -66,8 +68,8 @@ def nth(m: re.Match[str], cfg: Config) -> str | None:
 
 
 RULES = [
-    Rule("count", NUMBER, re.compile(COUNT), count),
+    Rule("count", NUMBER, re.compile(COUNT), count, needs=(" ",)),
     Rule("number", NUMBER, re.compile(PLAIN), plain),
-    Rule("ordinal", ORDINAL, re.compile(NTH), nth),
-    Rule("number-prefix", NUMBER, re.compile(PREFIX), lambda m, cfg: m["pre"]),
+    Rule("ordinal", ORDINAL, re.compile(NTH), nth, needs=("ה", L.HYPHENS)),
+    Rule("number-prefix", NUMBER, re.compile(PREFIX), lambda m, cfg: m["pre"], needs=("בוכלמש", L.HYPHENS)),
 ]

@@ -49,12 +49,12 @@ def address(m: re.Match[str], cfg: Config) -> str | None:
 
 
 RULES = [
-    Rule("phone-intl", PHONE, re.compile(INTERNATIONAL), international),
-    Rule("phone-local", PHONE, re.compile(LOCAL), dictated),
-    Rule("phone-service", PHONE, re.compile(SERVICE), dictated),
-    Rule("phone-star", PHONE, re.compile(STAR), lambda m, cfg: f"{L.STAR} {S.digits(m[1])}"),
-    Rule("phone-card", PHONE, re.compile(CARD), dictated),
-    Rule("phone-ip", PHONE, re.compile(ADDRESS), address),
-    Rule("phone-id", PHONE, re.compile(IDENTITY), after(IDENTITY_CUE)),
-    Rule("phone-emergency", PHONE, re.compile(EMERGENCY), after(DIAL_CUE)),
+    Rule("phone-intl", PHONE, re.compile(INTERNATIONAL), international, needs=("+",), least=12),
+    Rule("phone-local", PHONE, re.compile(LOCAL), dictated, needs=("0",), least=9),
+    Rule("phone-service", PHONE, re.compile(SERVICE), dictated, needs=("1",), least=10),
+    Rule("phone-star", PHONE, re.compile(STAR), lambda m, cfg: f"{L.STAR} {S.digits(m[1])}", needs=("*",)),
+    Rule("phone-card", PHONE, re.compile(CARD), dictated, needs=("-– ",), least=17),
+    Rule("phone-ip", PHONE, re.compile(ADDRESS), address, needs=(".",), least=7),
+    Rule("phone-id", PHONE, re.compile(IDENTITY), after(IDENTITY_CUE), least=9),
+    Rule("phone-emergency", PHONE, re.compile(EMERGENCY), after(DIAL_CUE), needs=("1",)),
 ]

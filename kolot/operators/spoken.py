@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import cache, lru_cache
+
 from kolot import lexicon as L
 from kolot.config import Config
 
@@ -25,13 +27,14 @@ def glued(parts: list[str]) -> str:
     return " ".join([*parts[:-1], (L.AND if len(parts) > 1 else "") + parts[-1]])
 
 
-def _below_thousand(n: int, gender: str) -> list[str]:
+@cache
+def _below_thousand(n: int, gender: str) -> tuple[str, ...]:
     hundreds, rest = divmod(n, 100)
     parts = [L.HUNDREDS[hundreds - 1]] if hundreds else []
     if 10 <= rest < 20:
-        return [*parts, L.TEENS[gender][rest - 10]]
+        return *parts, L.TEENS[gender][rest - 10]
     tens, ones = divmod(rest, 10)
-    return parts + ([L.TENS[tens - 2]] if tens else []) + ([L.ONES[gender][ones]] if ones else [])
+    return *parts, *([L.TENS[tens - 2]] if tens else []), *([L.ONES[gender][ones]] if ones else [])
 
 
 def scaled(count: int, one: str, two: str, few: str | None) -> str:
@@ -43,6 +46,7 @@ def scaled(count: int, one: str, two: str, few: str | None) -> str:
     return f"{cardinal(count, 'm')} {one}"
 
 
+@lru_cache(maxsize=1 << 14)
 def cardinal(n: int, gender: str = "f", bound: bool = False) -> str:
     if n < 0:
         return f"{L.MINUS} {cardinal(-n, gender, bound)}"
@@ -56,7 +60,7 @@ def cardinal(n: int, gender: str = "f", bound: bool = False) -> str:
         count, n = divmod(n, size)
         if count:
             parts.append(scaled(count, one, dual, few))
-    return glued(parts + _below_thousand(n, gender))
+    return glued([*parts, *_below_thousand(n, gender)])
 
 
 def digits(text: str) -> str:

@@ -16,10 +16,16 @@ from kolot.registry import query, table
 from kolot.sources import lexicon
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as a shuffle has: else a file's row group is one, and its texts take far longer than its bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def read(df: DataFrame, keys: list[str], texts: dict[str, Column], cfg: Config = Config()) -> DataFrame:
     """A row (keys, kind, said) for each of the texts of a row."""
     rows = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), text.alias("text")) for kind, text in texts.items()))).alias("x")
-    return df.select(*keys, rows).select(*keys, "x.kind", "x.text").select(*keys, "kind", Z.normalize("text", cfg).alias("said"))
+    return dealt(df).select(*keys, rows).select(*keys, "x.kind", "x.text").select(*keys, "kind", Z.normalize("text", cfg).alias("said"))
 
 
 def said(keys: str, kinds: dict[str, str], source: str) -> str:

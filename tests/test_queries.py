@@ -30,3 +30,10 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(queries.QUERIES) <= set(entry.queries())
+
+
+def test_readings_are_dealt_out(spark):
+    """A table of one row group is read by more than one task."""
+    dealt = queries.QUERIES["read_numbers"](spark, FOLDER)
+    assert dealt.rdd.getNumPartitions() >= 4
+    assert len({n for n, in dealt.selectExpr("spark_partition_id()").collect()}) >= 4

@@ -2,6 +2,8 @@
 
 import os
 import re
+import unicodedata
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
@@ -10,8 +12,8 @@ from hypothesis import strategies as st
 
 from kolot.config import Clock, Config, ConfigError
 from kolot.operators import passes, spoken
-from kolot.operators.normalize import normalize_text
-from kolot.operators.scanner import Rule, scan, spans
+from kolot.operators.normalize import normalize_text, ordered
+from kolot.operators.scanner import HAS_DIGIT, Rule, scan, spans
 
 # Texts, readings, settings.
 READINGS = [
@@ -128,3 +130,35 @@ def test_markdown():
 def test_own_rule():
     rule = toy("shrug", 30, r":\)", "חיוך")
     assert normalize_text("טוב :)", extra_rules=[rule]) == "טוב חיוך"
+
+
+PIECES = ["פי", "ה-", "וב-", "ב", "ילדים", "ינואר", "בערב", "אחוז", "פרומיל", "₪", "$", "שטרלינג", "מיליון", "%", "‰", "°", "c", "ק״מ", "m", "km/h", "צה״ל", "ג׳", "ט״ו", "בשבט", "GPT-4", "x@y.il", "#א", "www.a.b", "*", "+972", "ת״ז", "חייגו", "0", "1", "5", "07", "10", "2024", "123456789", "٣", ",", ".", ":", "/", "-", "–", "־", " ", "\t", " ", "\n", "'", '"']
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=12).map("".join))
+def test_rules_that_are_left_out_have_no_match(text):
+    """Characters and length tell which rules can match; trying all of them gives the same spans."""
+    rules = ordered()
+    live = rules.live(text)
+    tried = [replace(r, needs=(), least=0) for r in rules]
+    assert list(spans(text, rules, Config())) == list(spans(text, tried, Config()))
+    assert not [r.name for r in rules if r not in live and HAS_DIGIT.search(text) and r.pattern.search(text)]
+
+
+def test_rules_tried():
+    """A bare number is searched for by the few rules that could read it."""
+    assert {r.name for r in ordered().live("777")} == {"number"}
+    texts = ["3 במאי", "3 בערב", "5 %", "5 פרומיל", "5 שטרלינג", "$5", "5 ק״מ", "5°", "3-5", "3-5 ימים", "1/2024", "1.1.24", "2024-01-01", "10:30", "+97221234567", "021234567", "1800123456", "*123", "1234-123456-12345", "1.1.1.1", "ת״ז 123456789", "חייגו 100", "צה״ל", "ט״ו בשבט", "ה-3", "ב-3", "3 ילדים", "7", "a.py"]
+    names = {s.rule for t in texts for s in spans(t, ordered(), Config())}
+    assert names == {r.name for r in ordered()}
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*PIECES, "  ", " ,", "a", "# ", "> ", "- ", "1. ", "٣) ", "---", "- - -", "|", "`", "~~", "[a](b)", "\\*", "", " ", "​"]), max_size=10).map("".join))
+def test_passes_that_are_left_out_change_nothing(text):
+    cfg = Config()
+    seen = passes.replaced(passes._odd.sub(" ", passes._invisible.sub("", unicodedata.normalize("NFC", text))), passes.QUOTES)
+    assert passes.clean(text, cfg) == passes.strip_markdown(seen)
+    quoted = passes.replaced(text, passes.QUOTES)
+    assert passes.finalize(text, cfg) == passes.trimmed("\n".join(map(passes.trimmed, passes.replaced(quoted, passes.SPACING).split("\n"))))
