@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +36,12 @@ def normalize_text(text: str, cfg: Config = Config(), extra_rules: Sequence[Rule
     return passes.finalize(scan(passes.clean(text, cfg), ordered(extra_rules), cfg), cfg)
 
 
+def each_once(batch: pd.Series, read: Callable[[str], str]) -> pd.Series:
+    """read of each text, computed once for texts that occur again in the batch. None stays None."""
+    known = {t: read(t) for t in dict.fromkeys(batch) if t is not None}
+    return pd.Series([known.get(t) for t in batch], dtype=object)
+
+
 def normalize(text: Column | str, cfg: Config = Config(), extra_rules: Sequence[Rule] = ()) -> Column:
     """The text as it is said. Null stays null; empty and blank texts become empty.
 
@@ -50,7 +56,7 @@ def normalize(text: Column | str, cfg: Config = Config(), extra_rules: Sequence[
     def said(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         all_rules = ordered(extra)
         for batch in batches:
-            yield batch.map(lambda t: None if t is None else passes.finalize(scan(passes.clean(t, cfg), all_rules, cfg), cfg))
+            yield each_once(batch, lambda t: passes.finalize(scan(passes.clean(t, cfg), all_rules, cfg), cfg))
 
     if extra:
         return said(text)

@@ -114,3 +114,17 @@ def test_texts_without_a_mark_are_left_alone(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.finalize(T.clean(F.col("t"))).alias("said")).collect()
     for r in rows:
         assert r["said"] == passes.finalize(passes.clean(r["t"], Config()), Config()), r["t"]
+
+
+def test_texts_that_occur_again_are_read_once(spark):
+    """Of a batch each text is scanned once; rows keep their order, and nulls stay."""
+    import pandas as pd
+
+    asked = []
+    got = Z.each_once(pd.Series(["ב", None, "א", "ב", "", "א"], dtype=object), lambda t: asked.append(t) or t + "!")
+    assert list(got) == ["ב!", None, "א!", "ב!", "!", "א!"]
+    assert asked == ["ב", "א", ""]
+    assert list(Z.each_once(pd.Series([None, None], dtype=object), str)) == [None, None]
+    rows = [(i, [None, "3 ילדים", "", "5%", "אין"][i % 5]) for i in range(40)]
+    said = [None, "שלושה ילדים", "", "חמישה אחוזים", "אין"]
+    assert {tuple(r) for r in spark.createDataFrame(rows, "n int, t string").select("n", Z.normalize("t")).collect()} == {(i, said[i % 5]) for i in range(40)}
