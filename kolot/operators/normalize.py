@@ -38,8 +38,9 @@ def normalize_text(text: str, cfg: Config = Config(), extra_rules: Sequence[Rule
 
 def each_once(batch: pd.Series, read: Callable[[str], str]) -> pd.Series:
     """read of each text, computed once for texts that occur again in the batch. None stays None."""
-    known = {t: read(t) for t in dict.fromkeys(batch) if t is not None}
-    return pd.Series([known.get(t) for t in batch], dtype=object)
+    texts = batch.tolist()
+    known = {t: read(t) for t in dict.fromkeys(texts) if t is not None}
+    return pd.Series([known.get(t) for t in texts], dtype=object)
 
 
 def normalize(text: Column | str, cfg: Config = Config(), extra_rules: Sequence[Rule] = ()) -> Column:
